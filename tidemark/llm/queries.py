@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import substring_dedup, suffix_dedup
+from tidemark.llm import ngram_join, substring_dedup, suffix_dedup
 
-QUERIES = {"op4_substring_dedup": substring_dedup.query, "op10_suffix_dedup": suffix_dedup.query}
+QUERIES = {"op4_substring_dedup": substring_dedup.query, "op8_ngram_join": ngram_join.query, "op10_suffix_dedup": suffix_dedup.query}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
