@@ -8,11 +8,14 @@ that counts the shingles of all documents, so common passages come last and rare
 
 Steps, none of which lists the pairs inside a group of copies:
 1. Equal sets form a class, whose smallest doc_id stands for it.
-2. Buckets of equal minhashes link each class to the smallest of its bucket, if the exact similarity
+2. Buckets of equal minhashes link each class to the smallest and largest of its bucket, if the exact similarity
    allows it. This settles dense groups with a number of checks that is linear in their size.
-3. The prefix join then only has to find links between different components of step 2; it is complete
+3. The prefixes' tokens are counted. All tokens that x and y share up to the end of the prefix that
+   ends first are in both prefixes, so the overlap is at most |x| less the tokens of x's prefix that
+   no other prefix has. A document with many edits of its own drops out of its group's lists by this.
+4. The prefix join then only has to find links between different components of step 2; it is complete
    for these: nothing is capped or sampled.
-4. Candidates are verified on exact sets, and components are joined.
+5. Candidates are verified on exact sets, and components are joined.
 
 Edge cases: NULL, empty or blank texts have no shingles and link with nothing; a text of fewer than
 k words is one shingle; rows without doc_id are returned and link with nothing; rows that repeat a
@@ -40,7 +43,10 @@ MATCHES = (1, 2, 4, 8, 16)
 CANDIDATE_COST = 200.0
 #: Ids that a filter of texts may broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
-ENTRY = [np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8]
+#: token, doc, component less doc, set size, level, l, tokens of its own, rank of the prefix's end
+ENTRY = [np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8, np.uint32, np.uint32]
+TOKEN = [np.uint64, np.int64]
+OWN = [np.int64, np.uint32]
 
 _MULT = np.random.default_rng(77).integers(1, 1 << 62, N_HASH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -140,10 +146,10 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
 
 
 def leader_pairs(reps: DataFrame) -> DataFrame:
-    """(a, b): b the smallest document of a bucket of a, likely similar by their minhashes."""
+    """(a, b): b the smallest or largest document of a bucket of a, likely similar by their minhashes."""
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.col("mh")[j] for j in key]) for i, key in enumerate(KEYS)])
     at = reps.select("doc_id", F.explode(keys).alias("key"))
-    lead = at.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    lead = at.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", F.explode(F.array("lo", "hi")).alias("b"))
     pairs = at.join(lead, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     mh = reps.select("doc_id", "mh")
     p = pairs.join(mh, pairs.a == mh.doc_id).select("a", "b", F.col("mh").alias("ma"))
@@ -152,47 +158,82 @@ def leader_pairs(reps: DataFrame) -> DataFrame:
     return p.where(equal >= LEAST_EQUAL).select("a", "b")
 
 
+def prefixes(b: pa.RecordBatch, freq: np.ndarray, bits: int, k: int, num: int, den: int) -> Iterator[tuple[int, int, np.ndarray, int, int, int]]:
+    """Row, set size, prefix, size of the prefix without l, l, and the estimated frequency at its end."""
+    floor = freq.mean() + 4 * np.sqrt(freq.mean())
+    for r, s in enumerate(shingle_sets(b, "text", k)):
+        n = len(s)
+        if not n:
+            continue
+        est = freq[(s >> np.uint64(64 - bits)).astype(np.int64)]
+        order = np.lexsort((s, est))
+        base = n - (num * n + den - 1) // den
+        cost = np.cumsum(np.maximum(est[order].astype(np.float64) - floor, 0.0))
+        best = min(MATCHES, key=lambda m: cost[min(base + m, n) - 1] * (1 + CANDIDATE_COST / m))
+        best = min(best, n - base)
+        yield r, n, s[order[: base + best]], base, best, min(int(est[order[base + best - 1]]), (1 << 32) - 1)
+
+
+def own_tokens(docs: DataFrame, counts, bits: int, k: int, num: int, den: int, n_buckets: int) -> DataFrame:
+    """doc_id, own: how many tokens of a document's prefix are in no other document's prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.pieces(batches):
+            ids = C.longs(b, "doc_id")[0]
+            got = [(t, np.full(len(t), ids[r])) for r, _, t, _, _, _ in prefixes(b, counts.value, bits, k, num, den)]
+            if got:
+                t, d = (np.concatenate(x) for x in zip(*got, strict=True))
+                yield C.packed_batch([(i, 0, C.pack(*x)) for i, x in C.by_bucket((t % np.uint64(n_buckets)).astype(np.int64), t, d)])
+
+    def single(table: pa.Table) -> pa.Table:
+        t, d = C.unpacked(table, 0, TOKEN)
+        order = np.argsort(t, kind="stable")
+        new = C.groups_of([t[order]])
+        alone = new & np.append(new[1:], True)[: len(new)]
+        doc, n = np.unique(d[order][alone], return_counts=True)
+        return pa.Table.from_batches([C.packed_batch([(i, 0, C.pack(*x)) for i, x in C.by_bucket(doc % n_buckets, doc, n.astype(np.uint32))])])
+
+    def add(table: pa.Table) -> pa.Table:
+        d, n = C.unpacked(table, 0, OWN)
+        doc, at = np.unique(d, return_inverse=True)
+        return pa.table({"doc_id": pa.array(doc, pa.int64()), "own": pa.array(np.bincount(at, n, len(doc)).astype(np.int64))})
+
+    packed = docs.select("doc_id", "text").mapInArrow(run, C.PACKED)
+    return packed.groupBy("bucket").applyInArrow(single, C.PACKED).groupBy("bucket").applyInArrow(add, "doc_id long, own long")
+
+
 def prefix_entries(docs: DataFrame, counts, bits: int, k: int, num: int, den: int, n_buckets: int) -> DataFrame:
-    """docs: doc_id, text, comp. Packed entries (token, doc, comp - doc, n, level, l) of the prefixes."""
+    """docs: doc_id, text, comp, own. The packed entries of the prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = counts.value
-        floor = freq.mean() + 4 * np.sqrt(freq.mean())
         for b in C.pieces(batches):
-            ids, comp = C.longs(b, "doc_id")[0], C.longs(b, "comp")[0]
+            ids, comp, own = (C.longs(b, x)[0] for x in ("doc_id", "comp", "own"))
             cols: list[list[np.ndarray]] = [[] for _ in ENTRY]
-            for r, s in enumerate(shingle_sets(b, "text", k)):
-                n = len(s)
-                if not n:
-                    continue
-                est = freq[(s >> np.uint64(64 - bits)).astype(np.int64)]
-                order = np.lexsort((s, est))
-                base = n - (num * n + den - 1) // den
-                cost = np.cumsum(np.maximum(est[order].astype(np.float64) - floor, 0.0))
-                best = min(MATCHES, key=lambda m: cost[min(base + m, n) - 1] * (1 + CANDIDATE_COST / m))
-                best = min(best, n - base)
-                p = base + best
-                t = s[order[:p]]
+            for r, n, t, base, best, end in prefixes(b, counts.value, bits, k, num, den):
+                p = len(t)
                 level = np.maximum(np.arange(p) - base + 1, 1).astype(np.uint8)
-                for c, x in zip(cols, (t, np.full(p, ids[r]), np.full(p, comp[r] - ids[r]), np.full(p, n, np.uint32), level, np.full(p, best, np.uint8)), strict=True):
+                full = lambda x, kind: np.full(p, x, kind)  # noqa: E731, B023
+                for c, x in zip(cols, (t, full(ids[r], np.int64), full(comp[r] - ids[r], np.int64), full(n, np.uint32), level, full(best, np.uint8), full(own[r], np.uint32), full(end, np.uint32)), strict=True):
                     c.append(x)
             if cols[0]:
                 a = [np.concatenate(c) for c in cols]
                 yield C.packed_batch([(i, 0, C.pack(*x)) for i, x in C.by_bucket((a[0] % np.uint64(n_buckets)).astype(np.int64), *a)])
 
-    return docs.select("doc_id", "text", "comp").mapInArrow(run, C.PACKED)
+    return docs.select("doc_id", "text", "comp", "own").mapInArrow(run, C.PACKED)
 
 
 def bucket_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
     """(a, b, need, hits): pairs of a bucket's documents in different components that share tokens."""
-    t, doc, comp, n, level, best = C.unpacked(table, 0, ENTRY)
+    t, doc, comp, n, level, best, own, end_at = C.unpacked(table, 0, ENTRY)
     comp = comp + doc
     order = np.lexsort((doc, comp, t))
-    t, doc, comp, n, level, best = (x[order] for x in (t, doc, comp, n, level, best))
+    t, doc, comp, n, level, best, own, end_at = (x[order] for x in (t, doc, comp, n, level, best, own, end_at))
+    most = n.astype(np.int64) - own
+    has = (comp, n.astype(np.int64), level, best, most, end_at)
     new = C.groups_of([t])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(t)))
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(first):
         mixed = np.maximum.reduceat(comp, first) != np.minimum.reduceat(comp, first)
         # groups of one size at once; i against the members that follow it
@@ -201,7 +242,7 @@ def bucket_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
             if s <= 64:
                 x, y = np.triu_indices(int(s), 1)
                 i, j = (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
-                out.append(_allowed(i, j, comp, n, level, best, num, den))
+                out.append(_allowed(i, j, *has, num, den))
             else:
                 for f in at:
                     c = comp[f : f + s]
@@ -209,10 +250,9 @@ def bucket_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
                     for i in range(f, f + s):
                         j = np.arange(end[i - f], f + s)
                         if len(j):
-                            out.append(_allowed(np.full(len(j), i), j, comp, n, level, best, num, den))
-    i = np.concatenate([x[0] for x in out] or [np.zeros(0, np.int64)])
-    j = np.concatenate([x[1] for x in out] or [np.zeros(0, np.int64)])
-    a, b, need = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), np.minimum(best[i], best[j])
+                            out.append(_allowed(np.full(len(j), i), j, *has, num, den))
+    i, j, need = (np.concatenate([x[c] for x in out] or [np.zeros(0, np.int64)]) for c in range(3))
+    a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
     order = np.lexsort((b, a))
     a, b, need = a[order], b[order], need[order]
     new = np.flatnonzero(C.groups_of([a, b]))
@@ -220,11 +260,21 @@ def bucket_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array(a[new], pa.int64()), "b": pa.array(b[new], pa.int64()), "need": pa.array(need[new].astype(np.int32)), "hits": pa.array(hits.astype(np.int32))})
 
 
-def _allowed(i, j, comp, n, level, best, num, den):
-    need = np.minimum(best[i], best[j])
-    lo, hi = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
-    ok = (comp[i] != comp[j]) & (np.maximum(level[i], level[j]) <= need) & (den * lo >= num * hi)
-    return i[ok], j[ok]
+def _allowed(i, j, comp, n, level, best, most, end_at, num, den):
+    """The pairs that can link: in different components, within the shorter l of both, of sizes and
+    with a greatest overlap that allow the similarity."""
+    need = np.minimum(best[i], best[j]).astype(np.int64)
+    a, b = n[i], n[j]
+    # where the prefixes' ends are of one frequency, either may end first
+    greatest = np.where(end_at[i] < end_at[j], most[i], np.where(end_at[j] < end_at[i], most[j], np.maximum(most[i], most[j])))
+    least = (num * (a + b) + num + den - 1) // (num + den)
+    ok = (comp[i] != comp[j]) & (np.maximum(level[i], level[j]) <= need) & (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (greatest >= least)
+    return i[ok], j[ok], np.maximum(need, least - np.maximum(_rest(a, need, num, den), _rest(b, need, num, den)))[ok]
+
+
+def _rest(n, need, num, den):
+    """Tokens of a set behind its prefix of l = need."""
+    return (num * n + den - 1) // den - need
 
 
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bits: int = 20) -> DataFrame:
@@ -250,6 +300,9 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bits:
     known = C.written(skip.where("doc_id IS NOT NULL").unionByName(comp.select(F.col("id").alias("doc_id"), F.col("component_id").alias("comp"))).withColumn("known", F.lit(True)).dropDuplicates(["doc_id"]), "ngram-known")
     few = known.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     told = docs.where("doc_id IS NOT NULL").join(F.broadcast(known) if few else known, "doc_id", "left").withColumn("comp", F.when(F.col("known"), F.col("comp")).otherwise(F.col("doc_id"))).where("comp IS NOT NULL")
+    own = C.written(own_tokens(told, counts, bits, k, num, den, n_buckets), "ngram-own")
+    few = own.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    told = told.join(F.broadcast(own) if few else own, "doc_id", "left")
     pairs = prefix_entries(told, counts, bits, k, num, den, n_buckets).groupBy("bucket").applyInArrow(lambda t: bucket_pairs(t, num, den), "a long, b long, need int, hits int")
     pairs = pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).where("hits >= need").select("a", "b")
     far = C.written(verified(docs, C.written(pairs, "ngram-pairs"), k, num, den), "ngram-far")
