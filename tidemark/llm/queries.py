@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ngram_join, substring_dedup, suffix_dedup
-
-QUERIES = {"op4_substring_dedup": substring_dedup.query, "op8_ngram_join": ngram_join.query, "op10_suffix_dedup": suffix_dedup.query}
+from tidemark.llm import mixing, ngram_join, secret_scan, substring_dedup, suffix_dedup
+
+QUERIES = {
+    "op1_secret_scan": secret_scan.query,
+    "op4_substring_dedup": substring_dedup.query,
+    "op7_mixing": mixing.query,
+    "op8_ngram_join": ngram_join.query,
+    "op10_suffix_dedup": suffix_dedup.query,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
