@@ -93,12 +93,12 @@ def text_bytes(b: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.nd
     return data[off[0] : off[-1]], off - off[0]
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in buf, and the n + 1 offsets of documents into them."""
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    word = ~SPACE[buf]
+    word = ~space[buf]
     before, after = np.empty(len(buf), bool), np.empty(len(buf), bool)
     before[0], before[1:] = True, ~word[:-1]
     after[-1], after[:-1] = True, ~word[1:]

@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, ngram_join, secret_scan, substring_dedup, suffix_dedup
+import corpus_pipeline
+from tidemark.llm import decontamination, embedding_dedup, language_id, line_dedup, mixing, ngram_join, secret_scan, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
+    "op2_language_id": language_id.query,
+    "op3_embedding_dedup": embedding_dedup.query,
     "op4_substring_dedup": substring_dedup.query,
+    "op5_toxicity": toxicity.query,
+    "op6_line_dedup": line_dedup.query,
     "op7_mixing": mixing.query,
     "op8_ngram_join": ngram_join.query,
+    "op9_decontamination": decontamination.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 
