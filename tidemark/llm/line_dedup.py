@@ -38,20 +38,21 @@ def _segment(n: Column, i: int, k: int) -> tuple[Column, Column]:
     return F.lit(i) * q + F.greatest(F.lit(i) - short, F.lit(0)) + 1, q + (F.lit(i) >= short).cast("int")
 
 
+def _part(start: Column, size: Column) -> Column:
+    """Characters of column line; of column raw, its bytes, where a character is a byte."""
+    return F.when(F.col("ascii"), F.substring(F.col("raw"), start, size)).otherwise(F.substring("line", start, size).cast("binary"))
+
+
 def index_keys(k: int) -> Column:
     """Of column line and its length n: a key per segment."""
     n = F.col("n")
-    out = []
-    for i in range(k + 1):
-        start, size = _segment(n, i, k)
-        out.append(F.xxhash64(n, F.lit(i), F.substr(F.col("line"), start, size)))
-    return F.array(*out)
+    return F.array(*[F.xxhash64(n, F.lit(i), _part(*_segment(n, i, k))) for i in range(k + 1)])
 
 
 def probe_keys(k: int, min_chars: int) -> Column:
-    """Keys of the substrings to look up, beside those that index_keys has. Segment i of a line d
-    characters shorter can only be found within i edits of its start from the left, and within k - i
-    from the right."""
+    """Keys of the substrings to look up, beside those that index_keys has; NULL where there is none.
+    Segment i of a line d characters shorter can only be found within i edits of its start from the
+    left, and within k - i from the right."""
     n, out = F.col("n"), []
     for d in range(k + 1):
         for i in range(k + 1):
@@ -60,8 +61,8 @@ def probe_keys(k: int, min_chars: int) -> Column:
                     start, size = _segment(n - d, i, k)
                     at = start + shift
                     ok = (at >= 1) & (at + size <= n + 1) & (n - d >= min_chars)
-                    out.append(F.when(ok, F.xxhash64(n - d, F.lit(i), F.substr(F.col("line"), at, size))))
-    return F.array_compact(F.array(*out))
+                    out.append(F.when(ok, F.xxhash64(n - d, F.lit(i), _part(at, size))))
+    return F.array(*out)
 
 
 def banded_distance(x: Column, y: Column, k: int) -> Column:
@@ -109,36 +110,36 @@ def _banded(a: Column, b: Column, k: int) -> Column:
     return F.aggregate(windows, zero, step, lambda s: s["dist"])
 
 
-def first_places(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Distinct lines: h1, h2, doc_id and line_no of the first place, line, n."""
-    g = lines(docs, min_chars).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("line").alias("line"))
-    return g.select("h1", "h2", "first.doc_id", "first.line_no", "line", F.length("line").alias("n"))
-
+def near_lines(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
+    """(a1, a2, b1, b2): hashes of pairs of distinct lines within k edits, each pair once.
 
-def near_pairs(first: DataFrame, k: int, min_chars: int) -> DataFrame:
-    """Pairs of places (a, b), a before b, of distinct lines within k edits. first: a stored table."""
-    place = F.struct("doc_id", "line_no").alias("p")
-    index = first.select(place, F.explode(index_keys(k)).alias("key"))
-    probe = index.unionByName(first.select(place, F.explode(probe_keys(k, min_chars)).alias("key")))
-    j = probe.alias("x").join(index.alias("y"), F.col("x.key") == F.col("y.key")).where("x.p <> y.p")
-    pairs = C.written(j.select(F.least("x.p", "y.p").alias("a"), F.greatest("x.p", "y.p").alias("b")).distinct(), "line-pairs")
-    need = C.written(pairs.select(F.col("a").alias("p")).union(pairs.select("b")).distinct(), "line-ids")
+    Keys move with one hash of their line. The index has each line once however often it occurs; the
+    probes of equal lines find the same few entries, so the join is linear in the lines."""
+    d = lines(docs, min_chars).select("h1", "line", F.length("line").alias("n"), F.col("line").cast("binary").alias("raw")).withColumn("ascii", F.length("raw") == F.col("n"))
+    index = d.select("h1", F.explode(index_keys(k)).alias("key")).distinct()
+    probe = index.unionByName(d.select("h1", F.explode(probe_keys(k, min_chars)).alias("key")).where("key IS NOT NULL"))
+    j = probe.alias("x").join(index.hint("shuffle_hash").alias("y"), F.col("x.key") == F.col("y.key")).where("x.h1 <> y.h1")
+    pairs = C.written(j.select(F.least("x.h1", "y.h1").alias("ha"), F.greatest("x.h1", "y.h1").alias("hb")).distinct(), "line-pairs")
+    need = C.written(pairs.select(F.col("ha").alias("h1")).union(pairs.select("hb")).distinct(), "line-ids")
     few = need.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    text = first.select(place, "line", "n").join(F.broadcast(need) if few else need, "p", "left_semi")
-    left = pairs.join(text.select(F.col("p").alias("a"), F.col("line").alias("la"), F.col("n").alias("na")), "a")
-    both = left.join(text.select(F.col("p").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb")), "b")
-    return both.where(F.abs(F.col("na") - F.col("nb")) <= k).where(banded_distance(F.col("la"), F.col("lb"), k) <= k).select("a", "b")
+    text = lines(docs, min_chars).join(F.broadcast(need) if few else need, "h1", "left_semi").groupBy("h1", "h2").agg(F.max("line").alias("line"))
+    text = C.written(text.withColumn("n", F.length("line")), "line-texts")
+    side = lambda x: text.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
+    both = pairs.join(side("a"), F.expr("ha = a1")).join(side("b"), F.expr("hb = b1"))
+    return both.where(F.abs(F.col("na") - F.col("nb")) <= k).where(banded_distance(F.col("la"), F.col("lb"), k) <= k).select("a1", "a2", "b1", "b2")
 
 
 def repeated_lines(docs: DataFrame, k: int = 2, min_chars: int = 20) -> DataFrame:
     """doc_id, line_no, of_doc, of_line: each line that goes and the first place of what it repeats."""
     if min_chars <= 2 * k + 1:
         raise ValueError("min_chars must be above 2k + 1")
-    first = C.written(first_places(docs, min_chars), "line-first")
-    near = C.written(near_pairs(first, k, min_chars), "line-near").groupBy("b").agg(F.min("a").alias("a"))
     own = F.struct("doc_id", "line_no")
-    earliest = first.select("h1", "h2", own.alias("own")).join(near, F.col("own") == F.col("b"), "left").select("h1", "h2", F.least("own", "a").alias("of"))
-    every = lines(docs, min_chars).select("doc_id", "line_no", "h1", "h2")
+    every = C.written(lines(docs, min_chars).select("doc_id", "line_no", "h1", "h2"), "line-places")
+    first = C.written(every.groupBy("h1", "h2").agg(F.min(own).alias("own")), "line-first")
+    near = C.written(near_lines(docs, k, min_chars), "line-near")
+    both = near.unionByName(near.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
+    other = both.join(first, F.expr("b1 = h1 AND b2 = h2")).groupBy("a1", "a2").agg(F.min("own").alias("other"))
+    earliest = first.join(other, F.expr("h1 = a1 AND h2 = a2"), "left").select("h1", "h2", F.least("own", "other").alias("of"))
     return every.join(earliest, ["h1", "h2"]).where(own > F.col("of")).select("doc_id", "line_no", F.col("of.doc_id").alias("of_doc"), F.col("of.line_no").alias("of_line")).distinct()
 
 
