@@ -11,8 +11,10 @@ Steps, none of which lists the pairs inside a group of copies:
 2. Buckets of equal minhashes link each class to the smallest and largest of its bucket, if the exact similarity
    allows it. This settles dense groups with a number of checks that is linear in their size.
 3. The prefixes' tokens are counted. All tokens that x and y share up to the end of the prefix that
-   ends first are in both prefixes, so the overlap is at most |x| less the tokens of x's prefix that
-   no other prefix has. A document with many edits of its own drops out of its group's lists by this.
+   ends first are in both prefixes. So if they share no rare token (one that few prefixes have), the
+   overlap is at most |x| less the rare tokens of x's prefix: long lists only have to be asked for
+   pairs that this allows, and pairs that share a rare token come from its short list. A document
+   with many edits of its own drops out of its group's long lists by this.
 4. The prefix join then only has to find links between different components of step 2; it is complete
    for these: nothing is capped or sampled.
 5. Candidates are verified on exact sets, and components are joined.
@@ -43,7 +45,9 @@ MATCHES = (1, 2, 4, 8, 16)
 CANDIDATE_COST = 200.0
 #: Ids that a filter of texts may broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
-#: token, doc, component less doc, set size, level, l, tokens of its own, rank of the prefix's end
+#: token, doc, component less doc, set size, level, l, rare tokens of the prefix, frequency at its end
+#: Prefixes that have a rare token, at most.
+RARE = 8
 ENTRY = [np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8, np.uint32, np.uint32]
 TOKEN = [np.uint64, np.int64]
 OWN = [np.int64, np.uint32]
@@ -175,7 +179,7 @@ def prefixes(b: pa.RecordBatch, freq: np.ndarray, bits: int, k: int, num: int, d
 
 
 def own_tokens(docs: DataFrame, counts, bits: int, k: int, num: int, den: int, n_buckets: int) -> DataFrame:
-    """doc_id, own: how many tokens of a document's prefix are in no other document's prefix."""
+    """doc_id, own: how many tokens of a document's prefix are rare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.pieces(batches):
@@ -189,8 +193,9 @@ def own_tokens(docs: DataFrame, counts, bits: int, k: int, num: int, den: int, n
         t, d = C.unpacked(table, 0, TOKEN)
         order = np.argsort(t, kind="stable")
         new = C.groups_of([t[order]])
-        alone = new & np.append(new[1:], True)[: len(new)]
-        doc, n = np.unique(d[order][alone], return_counts=True)
+        first = np.flatnonzero(new)
+        rare = (np.diff(np.append(first, len(t))) <= RARE)[np.cumsum(new) - 1]
+        doc, n = np.unique(d[order][rare], return_counts=True)
         return pa.Table.from_batches([C.packed_batch([(i, 0, C.pack(*x)) for i, x in C.by_bucket(doc % n_buckets, doc, n.astype(np.uint32))])])
 
     def add(table: pa.Table) -> pa.Table:
@@ -222,18 +227,21 @@ def prefix_entries(docs: DataFrame, counts, bits: int, k: int, num: int, den: in
     return docs.select("doc_id", "text", "comp", "own").mapInArrow(run, C.PACKED)
 
 
+PAIRS = "a long, b long, need int, spare int, rare int, hits int"
+
+
 def bucket_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
-    """(a, b, need, hits): pairs of a bucket's documents in different components that share tokens."""
+    """Pairs of a bucket's documents in different components that share tokens: how many rare ones and
+    how many others, how many they need, and how many others both prefixes have at most."""
     t, doc, comp, n, level, best, own, end_at = C.unpacked(table, 0, ENTRY)
-    comp = comp + doc
+    comp, n = comp + doc, n.astype(np.int64)
     order = np.lexsort((doc, comp, t))
     t, doc, comp, n, level, best, own, end_at = (x[order] for x in (t, doc, comp, n, level, best, own, end_at))
-    most = n.astype(np.int64) - own
-    has = (comp, n.astype(np.int64), level, best, most, end_at)
-    new = C.groups_of([t])
-    first = np.flatnonzero(new)
+    best, own = best.astype(np.int64), own.astype(np.int64)
+    has = (comp, n, level, best, own, end_at)
+    first = np.flatnonzero(C.groups_of([t]))
     size = np.diff(np.append(first, len(t)))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     if len(first):
         mixed = np.maximum.reduceat(comp, first) != np.minimum.reduceat(comp, first)
         # groups of one size at once; i against the members that follow it
@@ -242,7 +250,7 @@ def bucket_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
             if s <= 64:
                 x, y = np.triu_indices(int(s), 1)
                 i, j = (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
-                out.append(_allowed(i, j, *has, num, den))
+                out.append(_allowed(i, j, *has, num, den, s <= RARE))
             else:
                 for f in at:
                     c = comp[f : f + s]
@@ -250,26 +258,36 @@ def bucket_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
                     for i in range(f, f + s):
                         j = np.arange(end[i - f], f + s)
                         if len(j):
-                            out.append(_allowed(np.full(len(j), i), j, *has, num, den))
-    i, j, need = (np.concatenate([x[c] for x in out] or [np.zeros(0, np.int64)]) for c in range(3))
+                            out.append(_allowed(np.full(len(j), i), j, *has, num, den, False))
+    i, j, need, rare = (np.concatenate([x[c] for x in out] or [np.zeros(0, np.int64)]) for c in range(4))
     a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
+    others = n - (num * n + den - 1) // den + best - own
+    spare = np.minimum(others[i], others[j])
     order = np.lexsort((b, a))
-    a, b, need = a[order], b[order], need[order]
+    a, b, need, spare, rare = a[order], b[order], need[order], spare[order], rare[order]
     new = np.flatnonzero(C.groups_of([a, b]))
-    hits = np.diff(np.append(new, len(a)))
-    return pa.table({"a": pa.array(a[new], pa.int64()), "b": pa.array(b[new], pa.int64()), "need": pa.array(need[new].astype(np.int32)), "hits": pa.array(hits.astype(np.int32))})
-
-
-def _allowed(i, j, comp, n, level, best, most, end_at, num, den):
-    """The pairs that can link: in different components, within the shorter l of both, of sizes and
-    with a greatest overlap that allow the similarity."""
-    need = np.minimum(best[i], best[j]).astype(np.int64)
+    total = np.diff(np.append(new, len(a)))
+    rares = np.add.reduceat(rare, new) if len(new) else rare
+    ints = lambda x: pa.array(x.astype(np.int32))
+    return pa.table({"a": pa.array(a[new], pa.int64()), "b": pa.array(b[new], pa.int64()), "need": ints(need[new]), "spare": ints(spare[new]), "rare": ints(rares), "hits": ints(total - rares)})
+
+
+def _allowed(i, j, comp, n, level, best, own, end_at, num, den, rare):
+    """The pairs that can link: in different components, of sizes that allow the similarity, and, for
+    a token that is not rare, within the shorter l of both and with a greatest overlap, if they share
+    no rare token, that allows it. Third: the shared prefix tokens that it takes, l at least, and the
+    overlap that these sizes ask for less all that can lie behind a prefix."""
+    need = np.minimum(best[i], best[j])
     a, b = n[i], n[j]
-    # where the prefixes' ends are of one frequency, either may end first
-    greatest = np.where(end_at[i] < end_at[j], most[i], np.where(end_at[j] < end_at[i], most[j], np.maximum(most[i], most[j])))
     least = (num * (a + b) + num + den - 1) // (num + den)
-    ok = (comp[i] != comp[j]) & (np.maximum(level[i], level[j]) <= need) & (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (greatest >= least)
-    return i[ok], j[ok], np.maximum(need, least - np.maximum(_rest(a, need, num, den), _rest(b, need, num, den)))[ok]
+    ok = (comp[i] != comp[j]) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
+    if not rare:
+        x, y = a - own[i], b - own[j]
+        # where the prefixes' ends are of one frequency, either may end first
+        greatest = np.where(end_at[i] < end_at[j], x, np.where(end_at[j] < end_at[i], y, np.maximum(x, y)))
+        ok &= (np.maximum(level[i], level[j]) <= need) & (greatest >= least)
+    need = np.maximum(need, least - np.maximum(_rest(a, need, num, den), _rest(b, need, num, den)))
+    return i[ok], j[ok], need[ok], np.full(int(ok.sum()), int(rare))
 
 
 def _rest(n, need, num, den):
@@ -303,8 +321,9 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bits:
     own = C.written(own_tokens(told, counts, bits, k, num, den, n_buckets), "ngram-own")
     few = own.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     told = told.join(F.broadcast(own) if few else own, "doc_id", "left")
-    pairs = prefix_entries(told, counts, bits, k, num, den, n_buckets).groupBy("bucket").applyInArrow(lambda t: bucket_pairs(t, num, den), "a long, b long, need int, hits int")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).where("hits >= need").select("a", "b")
+    pairs = prefix_entries(told, counts, bits, k, num, den, n_buckets).groupBy("bucket").applyInArrow(lambda t: bucket_pairs(t, num, den), PAIRS)
+    pairs = pairs.groupBy("a", "b").agg(F.sum("rare").alias("rare"), F.sum("hits").alias("hits"), F.max("need").alias("need"), F.max("spare").alias("spare"))
+    pairs = pairs.where("hits >= need OR rare > 0 AND rare + spare >= need").select("a", "b")
     far = C.written(verified(docs, C.written(pairs, "ngram-pairs"), k, num, den), "ngram-far")
     comp = C.components(near.unionByName(far), "ngram")
 
