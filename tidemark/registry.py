@@ -215,7 +215,7 @@ CASCADE = f"n >= {P.cascade_n} AND notional >= {P.cascade_notional} AND dur_s <=
 STUDY = (0, *P.study_s)
 MOVES = ",\n".join([
     "evk AS (SELECT row_id, sym, t, stream, cid, CASE WHEN side = 'buy' THEN 1.0e0 ELSE -1.0e0 END AS s FROM cl1)",
-    *[_asof(f"m{h}", "evk", h * SECOND) for h in STUDY],
+    *[_asof(f"m{h}", "evk", h * SECOND, beyond=True) for h in STUDY],
     "mv AS (SELECT evk.sym, evk.row_id, cl.notional AS cnotl, CASE WHEN multi_ex THEN 'both' WHEN n_exchange_2 > 0 THEN 'exchange_2_only' ELSE 'exchange_1_only' END AS membership, "
     + ", ".join(f"evk.s * (m{h}.mid - m0.mid) / m0.mid * 1e4 AS signed_{h}s" for h in P.study_s) + " FROM evk JOIN cl ON cl.sym = evk.sym AND cl.cid = evk.cid " + " ".join(f"JOIN m{h} ON m{h}.row_id = evk.row_id" for h in STUDY) + ")",
 ])
@@ -281,7 +281,7 @@ def oracle_sql() -> dict[str, str]:
             f"ap AS (SELECT x.sym, x.stream, x.row_id, b0, b1, total, coalesce(sum(tb.notl), 0.0e0) AS post FROM (SELECT raw0.*, b0, b1, total, t // {P.bin_us} AS b FROM raw0 JOIN tot USING (sym)) x LEFT JOIN tb ON tb.sym = x.sym AND tb.b >= x.b AND tb.b < x.b + {P.post_bins} WHERE x.b >= b0 AND x.b - b0 + {P.post_bins} < b1 - b0 + 12 GROUP BY ALL)"),
         "leadlag_response": _q(
             _r("""SELECT sym, venue, bucket, lag_s, avg(r) AS response_bps, count(*) AS n FROM (SELECT *, 'all' AS bucket FROM ll UNION ALL SELECT *, 'top_decile' AS bucket FROM ll WHERE notional >= top) GROUP BY ALL""", "lag_s response_bps"),
-            *[_asof(n, "raw0", k) for k, n in LAGS.items()],
+            *[_asof(n, "raw0", k, beyond=True) for k, n in LAGS.items()],
             "ll AS (" + " UNION ALL ".join(f"SELECT raw0.sym, raw0.stream AS venue, raw0.notional, quantile_cont(raw0.notional, 0.9) OVER (PARTITION BY raw0.sym, raw0.stream) AS top, {k / 1e6!r}e0 AS lag_s, CASE WHEN side = 'buy' THEN 1.0e0 ELSE -1.0e0 END * ({LAGS[k]}.mid - l0x.mid) / l0x.mid * 1e4 AS r FROM raw0 JOIN {LAGS[k]} USING (row_id) JOIN l0 l0x USING (row_id)" for k in P.lags_us) + ")"),
         "liq_quirks": _q(
             _r(f"SELECT feed, sym, count(*) AS rows, 100.0e0 * count(*) FILTER (WHERE t % 1000 = 0) / count(*) AS pct_ms_granular, 100.0e0 * count(*) FILTER (WHERE dt > 1) / count(*) AS dup_ts_pct, count(*) FILTER (WHERE dr > 1) AS exact_dup_rows, min(gap_s) AS min_gap_s, quantile_cont(gap_s, 0.01) AS p1_gap_s, median(gap_s) AS median_gap_s, 100.0e0 * count(*) FILTER (WHERE side = 'sell') / count(*) AS sell_pct, 100.0e0 * count(*) FILTER (WHERE {FUND}) / count(*) AS funding_within60_pct, 100.0e0 * count(*) FILTER (WHERE (t // {D} + 4) % 7 IN (0, 6)) / count(*) AS weekend_pct FROM (SELECT *, count(*) OVER (PARTITION BY feed, sym, t) AS dt, count(*) OVER (PARTITION BY feed, sym, t, side, price, amount) AS dr FROM ({GAPS})) GROUP BY ALL", "pct_ms_granular dup_ts_pct min_gap_s p1_gap_s median_gap_s sell_pct funding_within60_pct weekend_pct")),
