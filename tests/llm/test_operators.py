@@ -124,6 +124,40 @@ def test_lines(spark):
     assert got == {1: text, 2: "short\nnothing like the others", 3: "short", 4: None, None: text}
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_near_lines(spark, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "BROADCAST_IDS", few)
+    rng = random.Random(9)
+
+    def edited(s, n):
+        for _ in range(n):
+            at, c = rng.randrange(len(s) + 1), rng.choice("abcé😀 ")
+            s = s[:at] + rng.choice(["", c]) + s[at + rng.randint(0, 1) :]
+        return s
+
+    texts = []
+    for size in (12, 13, 14, 20, 40):
+        base = "".join(rng.choice("ab é") for _ in range(size))
+        texts += [edited(base, rng.randint(0, 4)) for _ in range(30)]
+    # a family whose lines share their ends and differ by more than k in the middle, and two that don't
+    texts += ["start of the family " + w + " end of the family" for w in ("abcd", "efgh", "ijkl", "mnop", "abce", "ijlk")]
+    texts = sorted({t for t in texts if len(t) >= 12})
+    d = spark.createDataFrame([(i, "\n".join([t] * (1 + i % 3))) for i, t in enumerate(texts)], "doc_id long, text string")
+    h = {r["h"]: r["t"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    got = [(h[r["a1"]], h[r["b1"]]) for r in line_dedup.near_lines(d, 2, 12).collect()]
+    assert len(got) == len(set(map(frozenset, got)))
+    assert set(map(frozenset, got)) == {frozenset((a, b)) for i, a in enumerate(texts) for b in texts[:i] if levenshtein(a, b) <= 2}
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 9), ["a", "b", "c", None][i % 4] if i % 3 else "a") for i in range(400)] + [(900, None, "z")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -3,8 +3,8 @@
 Lines within k edits of each other share one of k + 1 segments. Each distinct line is cut into k + 1
 segments, which are indexed by (line length, segment number, hash of the segment); a line probes the
 indexes of its own and of k shorter lengths with the substrings at the few starts that an alignment of
-at most k edits allows. Candidates are verified by a banded bit-parallel edit distance: one column of
-the band of 2k + 1 diagonals is a few operations on a long.
+at most k edits allows. Candidates whose counts of characters allow a link are verified by a banded
+bit-parallel edit distance: one column of the band of 2k + 1 diagonals is a few operations on a long.
 
 A line goes if an earlier line, by (doc_id, line number), is equal or within k edits; this is judged on
 the input. Equal lines are one before the join, with their first place, so a line that a third of all
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 
-#: Line ids that a filter of lines may broadcast; beyond it the join shuffles.
+#: Keys or line ids that a filter of lines may broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 
 
@@ -31,38 +31,44 @@ def lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return d.where(F.length("line") >= min_chars).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def _segment(n: Column, i: int, k: int) -> tuple[Column, Column]:
-    """Start, from 1, and length of segment i of k + 1 of a line of length n; longer ones come last."""
-    over = F.pmod(n, F.lit(k + 1))
-    q, short = ((n - over) / F.lit(k + 1)).cast("int"), F.lit(k + 1) - over
-    return F.lit(i) * q + F.greatest(F.lit(i) - short, F.lit(0)) + 1, q + (F.lit(i) >= short).cast("int")
+def lookups(k: int) -> list[tuple[int, int, int]]:
+    """(d, i, shift): where a line looks for segment i of a line d characters shorter. It can only be
+    found within i edits of its start from the left, and within k - i from the right. With d and shift 0
+    it is the line's own segment, which the index has."""
+    every = [(d, i) for d in range(k + 1) for i in range(k + 1)]
+    return [(d, i, shift) for d, i in every for shift in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1)]
 
 
-def _part(start: Column, size: Column) -> Column:
-    """Characters of column line; of column raw, its bytes, where a character is a byte."""
-    return F.when(F.col("ascii"), F.substring(F.col("raw"), start, size)).otherwise(F.substring("line", start, size).cast("binary"))
+def keyed(d: DataFrame, k: int, min_chars: int) -> DataFrame:
+    """h1, h2, line, key, index of lines d. The look-ups are rows of one small expression, which is
+    compiled; written out side by side they are beyond the size that the JVM compiles."""
+    d = d.select("h1", "h2", "line", F.length("line").alias("n"), F.col("line").cast("binary").alias("raw"))
+    d = d.withColumn("ascii", F.length("raw") == F.col("n"))
+    at = F.array(*[F.struct(F.lit(x).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for x, i, shift in lookups(k)])
+    d = d.select("h1", "h2", "line", "n", "raw", "ascii", F.inline(at)).withColumn("m", F.col("n") - F.col("d"))
+    # segment i of k + 1 of a line of m characters; longer ones come last
+    d = d.withColumn("over", F.pmod("m", F.lit(k + 1)))
+    d = d.withColumns({"size": ((F.col("m") - F.col("over")) / F.lit(k + 1)).cast("int"), "long": F.col("i") - (F.lit(k + 1) - F.col("over"))})
+    d = d.withColumns({"start": F.col("i") * F.col("size") + F.greatest("long", F.lit(0)) + 1 + F.col("shift"), "size": F.col("size") + (F.col("long") >= 0).cast("int")})
+    d = d.where((F.col("start") >= 1) & (F.col("start") + F.col("size") <= F.col("n") + 1) & (F.col("m") >= min_chars))
+    # where all characters are bytes, a part is cut from the bytes
+    part = F.when(F.col("ascii"), F.substring(F.col("raw"), F.col("start"), F.col("size"))).otherwise(F.substring("line", F.col("start"), F.col("size")).cast("binary"))
+    return d.select("h1", "h2", "line", F.xxhash64("m", "i", part).alias("key"), ((F.col("d") == 0) & (F.col("shift") == 0)).alias("index"))
 
 
-def index_keys(k: int) -> Column:
-    """Of column line and its length n: a key per segment."""
-    n = F.col("n")
-    return F.array(*[F.xxhash64(n, F.lit(i), _part(*_segment(n, i, k))) for i in range(k + 1)])
+def signature(line: Column) -> Column:
+    """How often each of 32 classes of characters occurs, modulo 4, in Gray code: two bits a class, of
+    which one more occurrence flips one. An edit takes away and adds a character at most, so lines within
+    k edits have signatures that differ in 2k bits at most."""
+    one = F.lit(1).cast("long")
 
+    def step(s: Column, c: Column) -> Column:
+        low = F.call_function("shiftleft", one, F.pmod(F.ascii(c), F.lit(32)))
+        high = F.call_function("shiftleft", low, F.lit(32))
+        same = (s.bitwiseAND(low) == 0) == (s.bitwiseAND(high) == 0)
+        return s.bitwiseXOR(F.when(same, low).otherwise(high))
 
-def probe_keys(k: int, min_chars: int) -> Column:
-    """Keys of the substrings to look up, beside those that index_keys has; NULL where there is none.
-    Segment i of a line d characters shorter can only be found within i edits of its start from the
-    left, and within k - i from the right."""
-    n, out = F.col("n"), []
-    for d in range(k + 1):
-        for i in range(k + 1):
-            for shift in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1):
-                if d or shift:
-                    start, size = _segment(n - d, i, k)
-                    at = start + shift
-                    ok = (at >= 1) & (at + size <= n + 1) & (n - d >= min_chars)
-                    out.append(F.when(ok, F.xxhash64(n - d, F.lit(i), _part(at, size))))
-    return F.array(*out)
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), step)
 
 
 def banded_distance(x: Column, y: Column, k: int) -> Column:
@@ -110,23 +116,39 @@ def _banded(a: Column, b: Column, k: int) -> Column:
     return F.aggregate(windows, zero, step, lambda s: s["dist"])
 
 
+def _few(ids: DataFrame) -> bool:
+    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+
 def near_lines(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
     """(a1, a2, b1, b2): hashes of pairs of distinct lines within k edits, each pair once.
 
-    Keys move with one hash of their line. The index has each line once however often it occurs; the
-    probes of equal lines find the same few entries, so the join is linear in the lines."""
-    d = lines(docs, min_chars).select("h1", "line", F.length("line").alias("n"), F.col("line").cast("binary").alias("raw")).withColumn("ascii", F.length("raw") == F.col("n"))
-    index = d.select("h1", F.explode(index_keys(k)).alias("key")).distinct()
-    probe = index.unionByName(d.select("h1", F.explode(probe_keys(k, min_chars)).alias("key")).where("key IS NOT NULL"))
-    j = probe.alias("x").join(index.hint("shuffle_hash").alias("y"), F.col("x.key") == F.col("y.key")).where("x.h1 <> y.h1")
-    pairs = C.written(j.select(F.least("x.h1", "y.h1").alias("ha"), F.greatest("x.h1", "y.h1").alias("hb")).distinct(), "line-pairs")
-    need = C.written(pairs.select(F.col("ha").alias("h1")).union(pairs.select("hb")).distinct(), "line-ids")
-    few = need.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    text = lines(docs, min_chars).join(F.broadcast(need) if few else need, "h1", "left_semi").groupBy("h1", "h2").agg(F.max("line").alias("line"))
-    text = C.written(text.withColumn("n", F.length("line")), "line-texts")
-    side = lambda x: text.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
-    both = pairs.join(side("a"), F.expr("ha = a1")).join(side("b"), F.expr("hb = b1"))
-    return both.where(F.abs(F.col("na") - F.col("nb")) <= k).where(banded_distance(F.col("la"), F.col("lb"), k) <= k).select("a1", "a2", "b1", "b2")
+    First the keys are found that join different lines: an aggregate of all keys, combined before the
+    exchange, so that a line which occurs often is no large group. Only the lines that have such a key
+    move further. Where a key joins many lines, pairs whose signatures rule a link out end inside the
+    join; the others are written and verified."""
+    every = keyed(lines(docs, min_chars), k, min_chars)
+    live = every.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("index").alias("index"))
+    live = C.written(live.where("lo < hi AND index").select("key"), "line-keys")
+    found = F.collect_set(F.struct("key", "index")).alias("found")  # as many as there are look-ups, at most
+    if _few(live):
+        text = every.join(F.broadcast(live), "key", "left_semi").groupBy("h1", "h2").agg(F.max("line").alias("line"), found)
+    else:  # keys move without texts, then the texts of the lines that are left
+        has = C.written(every.select("h1", "h2", "key", "index").distinct().join(live, "key", "left_semi").groupBy("h1", "h2").agg(found), "line-has")
+        ids = has.select("h1", "h2")
+        one = lines(docs, min_chars).join(F.broadcast(ids) if _few(ids) else ids, ["h1", "h2"], "left_semi")
+        text = one.groupBy("h1", "h2").agg(F.max("line").alias("line")).join(has, ["h1", "h2"])
+    text = C.written(text, "line-texts")
+    has = C.written(text.select("h1", "h2", F.length("line").alias("n"), signature(F.col("line")).alias("sig"), F.inline("found")), "line-signed")
+    x, y = has.alias("x"), has.where("index").hint("shuffle_hash").alias("y")
+    # one direction finds a pair of equal lengths too
+    once = (F.col("x.n") > F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.struct("x.h1", "x.h2") < F.struct("y.h1", "y.h2"))
+    allowed = F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig"))) <= 2 * k
+    j = x.join(y, (F.col("x.key") == F.col("y.key")) & once & allowed)
+    pairs = C.written(j.select(*[F.col(f"{s}.h{i}").alias(f"{t}{i}") for s, t in (("x", "a"), ("y", "b")) for i in (1, 2)]).distinct(), "line-pairs")
+    side = lambda x: text.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"l{x}"))
+    both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    return both.where(banded_distance(F.col("la"), F.col("lb"), k) <= k).select("a1", "a2", "b1", "b2")
 
 
 def repeated_lines(docs: DataFrame, k: int = 2, min_chars: int = 20) -> DataFrame:
