@@ -1,6 +1,10 @@
 """Registered queries use all rows, features and probes that their definitions name."""
 
+from pyspark.sql import functions as F
+
+from tidemark import registry
 from tidemark.operators.sample import every_nth
+from tidemark.plans import markout as M
 from tidemark.schema import EVENTS
 from tidemark.sources.events import market
 
@@ -8,3 +12,10 @@ from tidemark.sources.events import market
 def test_imbalance_ic_reads_every_quote(spark):
     q = market(spark, "/root/testdata/sf0.1").bbo
     assert every_nth(q, ["sym"], ["timestamp", "row_id"], EVENTS.stride_target).count() == q.count()
+
+
+def test_tree_r2_scores_every_feature(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(registry.TreeR2, "analyze", lambda self, long: asked.append(self.trees) or long.select("feature").distinct().withColumn("tree_r2", F.lit(0.0)))
+    m = market(spark, "/root/testdata/sf0.001")
+    assert {r["feature"] for r in registry.MAKERS["tree_r2"](m).collect()} == set(M.names(m)) and asked == [50]

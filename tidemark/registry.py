@@ -133,7 +133,7 @@ MAKERS: dict[str, Callable[[Market], DataFrame]] = {
     "sample_exact": lambda m: sample_exact(m.trades, 500, 7).select("row_id", "sym", "timestamp", "price", "amount"),
     "feature_ranking": lambda m: analyze_features(M.feature_sample(m), f"pnl_{P.horizons_s[1]}", [SpearmanIC()], M.names(m)),
     "mutual_info": lambda m: analyze_features(M.feature_sample(m), f"pnl_{P.horizons_s[1]}", [MutualInfo()], M.names(m)),
-    "tree_r2": lambda m: analyze_features(M.feature_sample(m), f"pnl_{P.horizons_s[1]}", [TreeR2(trees=20)], M.names(m)[:3]),
+    "tree_r2": lambda m: analyze_features(M.feature_sample(m), f"pnl_{P.horizons_s[1]}", [TreeR2()], M.names(m)),
 }
 
 
