@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that repeat an earlier one, within two edits."""
-    d = line_dedup.dedup_lines(docs)
+    d = line_dedup.dedup_lines(docs, **line_dedup.ALL_LINES)
     return d.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else d
 
 

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark import registry
+from tidemark.llm import line_dedup
 from tidemark.operators.sample import every_nth
 from tidemark.plans import markout as M
 from tidemark.schema import EVENTS
@@ -19,3 +21,11 @@ def test_tree_r2_scores_every_feature(spark, monkeypatch):
     monkeypatch.setattr(registry.TreeR2, "analyze", lambda self, long: asked.append(self.trees) or long.select("feature").distinct().withColumn("tree_r2", F.lit(0.0)))
     m = market(spark, "/root/testdata/sf0.001")
     assert {r["feature"] for r in registry.MAKERS["tree_r2"](m).collect()} == set(M.names(m)) and asked == [50]
+
+
+def test_line_dedup_takes_short_lines(spark):
+    d = spark.createDataFrame([(1, "Les.\n\nabcdef\nab", 5), (2, "own\nLes.\n\nabcxef", 5), (3, "Les.\n\nab", 5), (4, "Led.\nabcdefgh\n  ", 5)], "doc_id long, text string, n_chars long")
+    gone = line_dedup.repeated_lines(d, **line_dedup.ALL_LINES).collect()
+    assert sorted(tuple(r) for r in gone) == [(2, 1, 1, 0), (2, 3, 1, 2), (3, 0, 1, 0), (3, 2, 1, 3), (4, 1, 1, 2)]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line(spark, d, "").collect()}
+    assert got == {1: ("Les.\n\nabcdef\nab", 15), 2: ("own\n", 4), 4: ("Led.\n  ", 7)}

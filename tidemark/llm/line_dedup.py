@@ -8,7 +8,9 @@ bit-parallel edit distance: one column of the band of 2k + 1 diagonals is a few
 
 A line goes if an earlier line, by (doc_id, line number), is equal or within k edits; this is judged on
 the input. Equal lines are one before the join, with their first place, so a line that a third of all
-documents hold is one entry. Lines under min_chars characters are never compared or removed.
+documents hold is one entry. The edit join compares lines of min_chars characters or more, above
+2k + 1. Equal lines need no join: ``equal_chars`` is the length from which lines that are not blank are
+removed as equal (default: min_chars). The query and the pipeline take 2k + 2 and 1, so all lines.
 
 Edge cases: NULL texts have no lines; a row without doc_id keeps its lines and is nobody's original;
 rows that repeat a doc_id count as one document, whose equal places do not remove each other; other
@@ -25,10 +27,19 @@ from tidemark.llm import common as C
 #: Keys or line ids that a filter of lines may broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 
+#: What the query and the pipeline compare: the edit join from its least length, equal lines of any length.
+K = 2
+ALL_LINES = {"k": K, "min_chars": 2 * K + 2, "equal_chars": 1}
+#: A line or text with this is not blank.
+WORD = r"[^\x20\x09-\x0D]"
 
-def lines(docs: DataFrame, min_chars: int) -> DataFrame:
+
+def lines(docs: DataFrame, min_chars: int, equal_chars: int | None = None) -> DataFrame:
     d = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return d.where(F.length("line") >= min_chars).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    long = F.length("line") >= min_chars
+    if equal_chars is not None:
+        long = long | (F.length("line") >= equal_chars) & F.col("line").rlike(WORD)
+    return d.where(long).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
 def lookups(k: int) -> list[tuple[int, int, int]]:
@@ -151,12 +162,12 @@ def near_lines(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
     return both.where(banded_distance(F.col("la"), F.col("lb"), k) <= k).select("a1", "a2", "b1", "b2")
 
 
-def repeated_lines(docs: DataFrame, k: int = 2, min_chars: int = 20) -> DataFrame:
+def repeated_lines(docs: DataFrame, k: int = K, min_chars: int = 20, equal_chars: int | None = None) -> DataFrame:
     """doc_id, line_no, of_doc, of_line: each line that goes and the first place of what it repeats."""
     if min_chars <= 2 * k + 1:
         raise ValueError("min_chars must be above 2k + 1")
     own = F.struct("doc_id", "line_no")
-    every = C.written(lines(docs, min_chars).select("doc_id", "line_no", "h1", "h2"), "line-places")
+    every = C.written(lines(docs, min_chars, equal_chars).select("doc_id", "line_no", "h1", "h2"), "line-places")
     first = C.written(every.groupBy("h1", "h2").agg(F.min(own).alias("own")), "line-first")
     near = C.written(near_lines(docs, k, min_chars), "line-near")
     both = near.unionByName(near.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
@@ -165,15 +176,15 @@ def repeated_lines(docs: DataFrame, k: int = 2, min_chars: int = 20) -> DataFram
     return every.join(earliest, ["h1", "h2"]).where(own > F.col("of")).select("doc_id", "line_no", F.col("of.doc_id").alias("of_doc"), F.col("of.line_no").alias("of_line")).distinct()
 
 
-def dedup_lines(docs: DataFrame, k: int = 2, min_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, k: int = K, min_chars: int = 20, equal_chars: int | None = None) -> DataFrame:
     """docs without the lines that repeat an earlier one; documents that had text and are left with no
     word go."""
-    gone = repeated_lines(docs, k, min_chars).groupBy("doc_id").agg(F.collect_list("line_no").alias("__gone"))
+    gone = repeated_lines(docs, k, min_chars, equal_chars).groupBy("doc_id").agg(F.collect_list("line_no").alias("__gone"))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     d = docs.drop("__gone").join(gone, "doc_id", "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-    return d.where(F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    return d.where(F.col("__gone").isNull() | F.col("text").rlike(WORD)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """The lines that go."""
-    return repeated_lines(C.documents(spark, sf_dir))
+    return repeated_lines(C.documents(spark, sf_dir), **ALL_LINES)
