@@ -29,3 +29,9 @@ def test_line_dedup_takes_short_lines(spark):
     assert sorted(tuple(r) for r in gone) == [(2, 1, 1, 0), (2, 3, 1, 2), (3, 0, 1, 0), (3, 2, 1, 3), (4, 1, 1, 2)]
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line(spark, d, "").collect()}
     assert got == {1: ("Les.\n\nabcdef\nab", 15), 2: ("own\n", 4), 4: ("Led.\n  ", 7)}
+
+
+def test_lookahead_differential_probes_every_trade(spark):
+    m = market(spark, "/root/testdata/sf0.001")
+    n = m.context().n_trades()
+    assert n > 128 and {r["n_probe"] for r in registry.MAKERS["lookahead_differential"](m).collect()} == {n}
