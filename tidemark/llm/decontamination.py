@@ -4,7 +4,9 @@ Edits are of words. The CGK random walk reads a sequence with a pointer that eac
 not, by a random bit of the step and the word it is at; sequences at a small edit distance come to walk
 in step, so edit distance becomes Hamming distance of what was read. Each repetition samples places of
 the walk; a window and an item of equal samples are a candidate. The number of repetitions follows from
-the recall asked for and the agreement of walks measured on the items under the most edits allowed.
+the recall asked for and the agreement of walks measured on the items under the most edits allowed, up to
+a bound; where no candidate of a document and item is a match, all their other windows are decided too,
+so the matches found do not depend on the repetitions.
 Candidates are decided by the exact least edit distance of the item to any part of the text around.
 
 Which windows are walked: within e edits an item of m words keeps m - 2 - 3e of its word trigrams, at
@@ -209,11 +211,18 @@ def matches_in(it: Items, w: np.ndarray, off: np.ndarray) -> dict[tuple[int, int
     mine = it.keys(w, s, m[item], np.minimum(s + m[item], off[doc + 1]))
     near = (own[item] == mine).any(1)
     found: dict[tuple[int, int], tuple[int, int]] = {}
-    for d, i, a in zip(doc[near].tolist(), item[near].tolist(), s[near].tolist(), strict=True):
+    # windows that met a key come first, the others where those are no match
+    keyed: set[tuple[int, int]] = set()
+    order = np.argsort(~near, kind="stable")
+    for d, i, a, by_key in zip(doc[order].tolist(), item[order].tolist(), s[order].tolist(), near[order].tolist(), strict=True):
+        if not by_key and (d, i) in keyed:
+            continue
         lo = max(off[d], a - e[i])
         dist, end = least_distance(it.w[it.off[i] : it.off[i + 1]], w[lo : min(off[d + 1], a + m[i] + 2 * e[i])])
         if dist <= e[i] and (dist, end) < found.get((d, i), (m[i] + 1, 0)):
             found[d, i] = (dist, int(lo - off[d]) + end)
+            if by_key:
+                keyed.add((d, i))
     return found
 
 
