@@ -47,3 +47,9 @@ def test_decontamination_does_not_depend_on_keys(monkeypatch):
     calls = iter(range(1 << 20))
     monkeypatch.setattr(decontamination.Items, "keys", lambda self, w, start, m, end: np.full((len(start), 1), next(calls), np.uint64))
     assert decontamination.matches_in(it, w, np.asarray([0, len(w)])) == {(0, 0): (50, 460)}
+
+
+def test_feature_ranking_toxic_falls(spark):
+    d = registry.queries()["feature_ranking_toxic"](spark, "/root/testdata/sf0.001")
+    ic = [abs(r["spearman_ic"]) for r in d.collect()]
+    assert d.columns == ["feature", "spearman_ic", "ks"] and len(ic) == 10 and ic == sorted(ic, reverse=True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar as S
 from tidemark.operators import library as L
 from tidemark.operators import validate as V
-from tidemark.operators.analyze import MutualInfo, SpearmanIC, TreeR2, analyze_features
+from tidemark.operators.analyze import MutualInfo, SpearmanIC, TreeR2, analyze_features, rank_features
 from tidemark.operators.feature import Feature
 from tidemark.operators.feature_set import FeatureSet
 from tidemark.operators.sample import sample_exact
@@ -132,6 +132,7 @@ MAKERS: dict[str, Callable[[Market], DataFrame]] = {
     "lookahead_differential": _differential,
     "sample_exact": lambda m: sample_exact(m.trades, 500, 7).select("row_id", "sym", "timestamp", "price", "amount"),
     "feature_ranking": lambda m: analyze_features(M.feature_sample(m), f"pnl_{P.horizons_s[1]}", [SpearmanIC()], M.names(m)),
+    "feature_ranking_toxic": lambda m: rank_features(M.feature_sample(m).where(S.finite(f"pnl_{P.horizons_s[1]}")), f"pnl_{P.horizons_s[1]}", M.names(m)),
     "mutual_info": lambda m: analyze_features(M.feature_sample(m), f"pnl_{P.horizons_s[1]}", [MutualInfo()], M.names(m)),
     "tree_r2": lambda m: analyze_features(M.feature_sample(m), f"pnl_{P.horizons_s[1]}", [TreeR2()], M.names(m)),
 }
@@ -328,5 +329,9 @@ def oracle_sql() -> dict[str, str]:
         "lookahead_tracked": _q(f"""SELECT 'forward_mid' AS feature, count(*) FILTER (WHERE src > t) AS n_violations, count(*) FILTER (WHERE src > t) = 0 AS ok FROM (SELECT tr.t, q.t AS src FROM tr ASOF LEFT JOIN q ON tr.sym = q.sym AND tr.t + {P.short_us} >= q.t)
 UNION ALL SELECT 'bbo_spread_bps', CAST(0 AS BIGINT), TRUE UNION ALL SELECT 'liq_notional_{SHORT}s', CAST(0 AS BIGINT), TRUE"""),
         "feature_ranking": _q(_r(f"SELECT feature, ic AS spearman_ic FROM ({_spear(f'(SELECT lf.*, pnl FROM lf JOIN pnl USING (row_id) WHERE tau = {N1})', 'value', 'pnl', 'feature', 10, 'ic')})", "spearman_ic"), FEATURE_CTES, PNL_CTES, LONG_CTE),
+        "feature_ranking_toxic": _q(
+            _r(f"SELECT feature, spearman_ic, ks FROM (SELECT feature, ic AS spearman_ic FROM ({_spear('rk', 'value', 'pnl', 'feature', 10, 'ic')})) JOIN (SELECT feature, max(abs(ca / na - cb / nb)) AS ks FROM (SELECT feature, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER p AS na, sum(b) OVER p AS nb FROM kr WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY feature)) GROUP BY ALL) USING (feature)", "spearman_ic ks"),
+            FEATURE_CTES, PNL_CTES, LONG_CTE, f"rk AS (SELECT feature, value, pnl FROM lf JOIN pnl USING (row_id) WHERE tau = {N1} AND pnl IS NOT NULL)",
+            "kr AS (SELECT feature, value, CAST(count(*) FILTER (WHERE pnl < 0) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE NOT pnl < 0) AS DOUBLE) AS b FROM rk WHERE value IS NOT NULL GROUP BY ALL)"),
     }
     return o
