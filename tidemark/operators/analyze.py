@@ -63,7 +63,10 @@ class TreeR2(FeatureAnalyzer):
         from pyspark.ml.regression import RandomForestRegressor
 
         rows = []
+        # each forest is several jobs: the rows are computed once
         d = long.where(finite("value") & finite("target"))
+        shared = d.sparkSession.conf.get("spark.checkpoint.dir", None)
+        d = d.checkpoint() if shared else d.persist()
         cuts = {r["feature"]: r for r in d.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.percentile("row_id", 1 - self.test_frac).alias("cut")).collect()}
         for (feature,) in sorted(long.select("feature").distinct().collect()):
             r2, c = None, cuts.get(feature)
