@@ -3,6 +3,7 @@ packed exchanges, and connected components."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,25 +24,39 @@ U64 = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the driver's. Python workers get this package's folder on their path, as the program
-    may run in another one; on a cluster the package is shipped with --py-files."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    """A table of the driver's. The program may run in another folder, so workers are told this package's;
+    on a cluster the package is shipped with --py-files."""
+    for_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def for_workers(spark: SparkSession) -> None:
+    """Python workers find this package, and give memory back: without Arrow's own pool, and with few arenas."""
+    env = spark.sparkContext.environment
+    for k, v in {"PYTHONPATH": str(Path(__file__).resolve().parents[2]), "ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2"}.items():
+        env.setdefault(k, v)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir. Where that is unset, a session on one machine gets a temporary
+    one; on a cluster it has to be set, as executors see no folder of another machine."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tidemark_dir", None)
     if not d:
-        d = getattr(spark, "_tidemark_dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark._tidemark_dir = d
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = spark._tidemark_dir = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return d.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -110,11 +125,67 @@ def word_spans(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> t
     return starts, ends, np.searchsorted(starts, off)
 
 
-# ------------------------------------------------------------------ rolling hashes, modulo 2**64
+# ------------------------------------------------------------------ rolling hashes
+
+#: A prime; a polynomial of degree d has at most d zeros modulo it, whatever the text's structure.
+P61 = (1 << 61) - 1
+_LOW31, _LOW30 = U64((1 << 31) - 1), U64((1 << 30) - 1)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x < 2**64 modulo P61."""
+    x = (x & U64(P61)) + (x >> U64(61))
+    return np.where(x >= U64(P61), x - U64(P61), x)
+
+
+def _join(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """high * 2**31 + low modulo P61, of high below 2**63 and low below 2**62."""
+    return _fold((high >> U64(30)) + ((high & _LOW30) << U64(31)) + low)
+
+
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo P61, of factors below P61."""
+    ah, al, bh, bl = a >> U64(31), a & _LOW31, b >> U64(31), b & _LOW31
+    middle = ah * bl + al * bh
+    return _fold((ah * bh << U64(1)) + (middle >> U64(30)) + ((middle & _LOW30) << U64(31)) + al * bl)
+
+
+class PrimeRoll:
+    """Rabin-Karp hash, modulo a prime, of any slice of a sequence of symbols, from prefix sums."""
+
+    _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __init__(self, symbols: np.ndarray, base: int) -> None:
+        """symbols: bytes, or hashes of which the low 61 bits are taken."""
+        n, base = len(symbols), base % P61
+        if base not in self._tables or len(self._tables[base][0]) <= n:
+            self._tables[base] = tuple(self._powers(x, max(1 << 18, n + 1)) for x in (base, pow(base, -1, P61)))
+        pw, self.inverse = self._tables[base]
+        if symbols.dtype == np.uint8 and n < 1 << 24:  # products and their sums fit, unreduced
+            c = symbols.astype(U64) + U64(1)
+            high, low = c * (pw[:n] >> U64(31)), c * (pw[:n] & _LOW31)
+        else:
+            c = symbols.astype(U64) + U64(1) if symbols.dtype == np.uint8 else _fold(symbols & U64(P61))
+            term = mulmod(c, pw[:n])
+            high, low = term >> U64(31), term & _LOW31
+        self.high, self.low = np.zeros(n + 1, U64), np.zeros(n + 1, U64)
+        np.cumsum(high, out=self.high[1:])
+        np.cumsum(low, out=self.low[1:])
+
+    @staticmethod
+    def _powers(base: int, size: int) -> np.ndarray:
+        out = np.ones(1, U64)
+        while len(out) < size:
+            out = np.concatenate([out, mulmod(out, U64(pow(base, len(out), P61)))])
+        return out
+
+    def slices(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return mix(mulmod(_join(self.high[hi] - self.high[lo], self.low[hi] - self.low[lo]), self.inverse[lo]))
 
 
 class Roll:
-    """Polynomial hash of any slice of a sequence of 64-bit symbols, from prefix sums."""
+    """Polynomial hash modulo 2**64 of any slice of a sequence of 64-bit symbols, from prefix sums. Long
+    slices of a regular structure may collide: only for short ones, or where what it finds is compared."""
 
     _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -132,7 +203,7 @@ class Roll:
         return mix((self.sums[hi] - self.sums[lo]) * self.inv[lo])
 
 
-#: Odd multipliers: two independent hashes of one slice make 128 bits.
+#: Odd multipliers: two independent hashes of one slice make 122 bits.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -152,7 +223,7 @@ def byte_symbols(buf: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    return Roll(byte_symbols(buf), base).slices(starts, ends) + (ends - starts).astype(U64)
+    return PrimeRoll(buf, base).slices(starts, ends)
 
 
 def sliding_argmin(g: np.ndarray, width: int) -> np.ndarray:

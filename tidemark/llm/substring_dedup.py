@@ -4,7 +4,7 @@
    anchor. Equal windows have equal anchors, so a window whose anchor occurs once in the corpus
    occurs once: it is counted without being moved. One exchange of anchors (about a sixth of the
    words) counts them.
-2. Every other window gets a 128-bit Rabin-Karp hash. An exchange by anchor finds for each hash the
+2. Every other window gets two Rabin-Karp hashes modulo a prime, 122 bits. An exchange by anchor finds for each hash the
    first place, by (doc_id, start); all later places are repeats, as runs of starts.
 3. Runs are merged into maximal intervals of words, which are taken out.
 
@@ -169,7 +169,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
             if not len(p):
                 continue
             at = p + woff[row[of]]
-            h1, h2 = (C.Roll(C.word_hashes(buf, starts, ends, x), x).slices(at, at + window) for x in C.BASES)
+            h1, h2 = (C.PrimeRoll(C.word_hashes(buf, starts, ends, x), x).slices(at, at + window) for x in C.BASES)
             doc, bucket = ids[row[of]], (anchor[of] % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((p, doc, h2, h1))
             h1, h2, doc, p, bucket, anchor = h1[order], h2[order], doc[order], p[order], bucket[order], anchor[of][order]
