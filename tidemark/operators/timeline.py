@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 #: Names of streams that are unions of others.
 UNIONS = {"liq_combined": ("liq_exchange_1", "liq_exchange_2")}
 VALUES = ("notional", "buy_notional", "sell_notional")
+#: Values are summed as decimals: a difference of running sums is then exact, so that equal windows have
+#: equal sums whatever came before them. A sum has 10 digits more, a difference 1.
+EXACT = "decimal(22,10)"
 EVENT, QUOTE, QUERY = 0, 1, 2
 
 
@@ -96,14 +99,14 @@ def evaluate(
     quote = F.struct("t", "row_id", *series)
     q = queries
     part = list(keys)
-    ev, qt = events.select(*keys, "t", "stream", *values), quotes.select(*keys, "t", quote.alias("__q"))
+    ev, qt = events.select(*keys, "t", "stream", *[F.col(v).cast(EXACT).alias(v) for v in values]), quotes.select(*keys, "t", quote.alias("__q"))
     if bucket_us:
         part.append("bucket")
         cell = lambda c: F.floor(c / F.lit(bucket_us)).cast("long")
         q = q.withColumn("bucket", cell(F.col("t")))
         spread = lambda d: d.withColumn("bucket", F.explode(F.sequence(cell(F.col("t") - F.lit(hi)), cell(F.col("t") - F.lit(lo)))))
         es, qs = _seeds(events, q, keys, lo, bucket_us, ["stream"], F.struct("t")), _seeds(quotes, q, keys, lo, bucket_us, [], quote)
-        ev = spread(ev).withColumn("__one", F.lit(1)).unionByName(es.select(*part, F.col("__row.t").alias("t"), "stream", *[F.lit(0.0).alias(v) for v in values], F.lit(0).alias("__one")))
+        ev = spread(ev).withColumn("__one", F.lit(1)).unionByName(es.select(*part, F.col("__row.t").alias("t"), "stream", *[F.lit(0).cast(EXACT).alias(v) for v in values], F.lit(0).alias("__one")))
         qt = spread(qt).unionByName(qs.select(*part, F.col("__row.t").alias("t"), F.col("__row").alias("__q")))
     else:
         ev = ev.withColumn("__one", F.lit(1))
@@ -123,7 +126,7 @@ def evaluate(
     def frame(kind: str, stream: str, value: str, bound: int) -> Column:
         key = (kind, stream, value, bound)
         c = {
-            "sum": lambda: F.coalesce(F.sum(F.when(of(stream), F.col(value))).over(upto(bound)), F.lit(0.0)),
+            "sum": lambda: F.coalesce(F.sum(F.when(of(stream), F.col(value))).over(upto(bound)), F.lit(0).cast(EXACT)),
             "count": lambda: F.coalesce(F.sum(F.when(of(stream), F.col("__one"))).over(upto(bound)), F.lit(0)),
             "last": lambda: F.max(F.when(of(stream) & (F.col("__kind") == EVENT), F.col("t"))).over(upto(bound)),
             "quote": lambda: F.max("__q").over(upto(bound)),
@@ -138,7 +141,7 @@ def evaluate(
             if r.kind == "count":
                 out.append(n.cast("double").alias(r.name))
             else:
-                out.append(F.when(n > 0, frame("sum", r.stream, r.value, r.hi) - frame("sum", r.stream, r.value, r.lo - 1)).otherwise(F.lit(0.0)).alias(r.name))
+                out.append(F.when(n > 0, (frame("sum", r.stream, r.value, r.hi) - frame("sum", r.stream, r.value, r.lo - 1)).cast("double")).otherwise(F.lit(0.0)).alias(r.name))
             if track:
                 out.append(F.when(n > 0, frame("last", r.stream, "", r.hi)).alias(r.source))
         elif r.kind == "last_ts":

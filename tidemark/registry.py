@@ -157,7 +157,7 @@ tr AS (SELECT row_id, sym, t, price, side, CASE WHEN side = 'buy' THEN 1.0e0 ELS
 
 
 def _win(name: str, width: int, cond: str = "TRUE", upto: str = "<") -> str:
-    return f"""{name} AS (SELECT tr.row_id, count(e.row_id) AS n, coalesce(sum(e.notional), 0.0e0) AS notional, coalesce(sum(e.buy_n), 0.0e0) AS buy_n, coalesce(sum(e.sell_n), 0.0e0) AS sell_n
+    return f"""{name} AS (SELECT tr.row_id, count(e.row_id) AS n, coalesce(CAST(sum(CAST(e.notional AS DECIMAL(38, 10))) AS DOUBLE), 0.0e0) AS notional, coalesce(CAST(sum(CAST(e.buy_n AS DECIMAL(38, 10))) AS DOUBLE), 0.0e0) AS buy_n, coalesce(CAST(sum(CAST(e.sell_n AS DECIMAL(38, 10))) AS DOUBLE), 0.0e0) AS sell_n
 FROM tr LEFT JOIN e ON e.sym = tr.sym AND e.t >= tr.t - {width} AND e.t {upto} tr.t AND {cond} GROUP BY tr.row_id)"""
 
 
