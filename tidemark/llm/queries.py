@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tidemark.llm import decontamination, embedding_dedup, language_id, line_dedup, mixing, ngram_join, secret_scan, substring_dedup, suffix_dedup, toxicity
+from tidemark.llm.oracle import ORACLE
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -29,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
