@@ -52,6 +52,19 @@ def ks_separation(df: DataFrame, x: str, positive: Column, groups: Sequence[str]
     return d.groupBy(*groups).agg(F.max("__d").alias(out))
 
 
+def ordered_unique(df: DataFrame, col: str, order: Sequence[str]) -> DataFrame:
+    """The distinct values of a column and their places, from 0, by first appearance in the order."""
+    first = df.groupBy(col).agg(F.min(F.struct(*order)).alias("__first"))
+    return first.select((F.row_number().over(Window.orderBy("__first")) - 1).alias("place"), col)
+
+
+def describe(df: DataFrame, columns: Sequence[str], name: str = "feature") -> DataFrame:
+    """A row per column: n, mean, std (of a sample), min and max of the finite values. One pass."""
+    aggs = [f(F.when(finite(c), F.col(c).cast("double"))).alias(f"{k}|{c}") for c in columns for k, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
+    rows = F.array(*[F.struct(F.lit(c).alias(name), *[F.col(f"`{k}|{c}`").alias(k) for k in ("n", "mean", "std", "min", "max")]) for c in columns])
+    return df.agg(*aggs).select(F.inline(rows))
+
+
 def quantile_edges(df: DataFrame, x: str, qs: Sequence[float], groups: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """One row per group with the array ``edges``; exact unless an accuracy is given."""
     agg = F.percentile_approx(x, list(qs), accuracy) if accuracy else F.percentile(x, F.array(*[F.lit(float(q)) for q in qs]))

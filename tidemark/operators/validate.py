@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import finite
 from tidemark.operators.context import FeatureContext
 from tidemark.operators.feature import Feature
+from tidemark.operators.timeline import evaluate
 
 INF = float("inf")
 
@@ -67,12 +67,19 @@ def check_no_lookahead(features: Sequence[Feature], ctx: FeatureContext, n_probe
 
 
 def check_no_lookahead_tracked(features: Sequence[Feature], ctx: FeatureContext) -> DataFrame:
-    """A row per feature: trades for which it read a source later than t. Does not see raw reads."""
-
-    def one(f: Feature) -> DataFrame:
-        return ctx.max_used_ts(f).agg(F.count_if(F.col("max_used_ts") > F.col("t")).alias("n_violations")).select(F.lit(f.name).alias("feature"), "n_violations", (F.col("n_violations") == 0).alias("ok"))
-
-    return reduce(DataFrame.unionByName, map(one, features))
+    """A row per feature: trades for which it read a source later than t. Does not see raw reads. All
+    features are one plan, each with the requests that it made itself."""
+    every, late = ctx.fresh(), {}
+    for f in features:
+        own = ctx.fresh()
+        f.calculate(own)
+        every.requests |= own.requests
+        sources = [r.source for n, r in own.requests.items() if n not in own.untracked]
+        late[f.name] = F.count_if(F.greatest(*map(F.col, sources), F.lit(None).cast("long")) > F.col("t")) if sources else F.lit(0).cast("long")
+    d = evaluate(every.queries, every.events, every.quotes, every.requests.values(), every.keys, every.bucket_us, track=True)
+    one = d.agg(F.count(F.lit(1)).alias("n|"), *[c.alias(f"v|{n}") for n, c in late.items()])
+    rows = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`v|{n}`").alias("n_violations")) for n in late])
+    return one.select(F.inline(rows)).withColumn("ok", F.col("n_violations") == 0)
 
 
 def validate_feature_set(features: Sequence[Feature], ctx: FeatureContext, allow_nan: bool = False, matrix: DataFrame | None = None, **kw) -> DataFrame:

@@ -118,3 +118,8 @@ def _offsets(m: Market) -> DataFrame:
 def price_offset(m: Market) -> DataFrame:
     """Distance of liquidation prices from the mid; before the first quote, from the first."""
     return _offsets(m).groupBy("sym", "side").agg(F.count(F.lit(1)).alias("n"), F.median("offset_bps").alias("median_bps"), F.median(F.abs("offset_bps")).alias("median_abs_bps"), F.avg("offset_bps").alias("mean_bps"))
+
+
+def price_offset_overall(m: Market) -> DataFrame:
+    """The same over both sides."""
+    return _offsets(m).groupBy("sym").agg(F.count(F.lit(1)).alias("n"), F.median(F.abs("offset_bps")).alias("median_abs_bps"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.functions.stats import describe, ordered_unique
 from tidemark.operators import library as L
 from tidemark.operators import validate as V
 from tidemark.operators.analyze import MutualInfo, SpearmanIC, TreeR2, analyze_features, rank_features
@@ -19,6 +20,7 @@ from tidemark.plans import markout as M
 from tidemark.plans import quality as Q
 from tidemark.schema import EVENTS, SECOND
 from tidemark.sources.events import Market, market
+from tidemark.sources.files import from_arrow, sql_scan, to_arrow
 
 P = EVENTS
 SHORT, LONG, RET = P.short_us // SECOND, P.long_us // SECOND, P.ret_us // SECOND
@@ -46,13 +48,6 @@ class _Inclusive(Feature):
         return ctx.raw_sum("liq_combined", "notional", -P.short_us, 0)
 
 
-class _Buy(Feature):
-    name, lookback_us = "buy_minus_sell", P.short_us
-
-    def calculate(self, ctx):
-        return ctx.window_sum("liq_combined", "buy_notional", P.short_us) - ctx.window_sum("liq_combined", "sell_notional", P.short_us)
-
-
 def _features(*features: Feature) -> Callable[[Market], DataFrame]:
     return lambda m: FeatureSet(features).run(m.context()).drop("timestamp")
 
@@ -65,6 +60,17 @@ def _check_alignment(m: Market) -> DataFrame:
     return V.check_alignment(M.feature_matrix(m), m.context().queries)
 
 
+def _damaged(m: Market) -> DataFrame:
+    """The matrix with missing, repeated and foreign rows, and with values that are not finite."""
+    d, r = M.feature_matrix(m), F.col("row_id")
+    d = d.where(F.pmod(r, F.lit(7)) != 0)
+    d = d.unionByName(d.where(F.pmod(r, F.lit(11)) == 0)).unionByName(d.where(F.pmod(r, F.lit(13)) == 0).withColumn("row_id", -1 - r))
+    first = M.names(m)[0]
+    r = F.col("row_id")
+    bad = F.when(F.pmod(r, F.lit(5)) == 0, F.lit(float("inf"))).when(F.pmod(r, F.lit(5)) == 1, F.lit(float("-inf"))).when(F.pmod(r, F.lit(5)) == 2, F.lit(float("nan"))).otherwise(F.col(first))
+    return d.withColumn(first, bad)
+
+
 FORWARD = _AsOf("forward_mid", "mid", P.short_us)
 
 
@@ -128,6 +134,13 @@ MAKERS: dict[str, Callable[[Market], DataFrame]] = {
     "conditional_means": M.conditional_means,
     "check_finite": _check_finite,
     "check_alignment": _check_alignment,
+    "check_finite_damaged": lambda m: V.check_finite(_damaged(m), M.names(m)),
+    "check_alignment_damaged": lambda m: V.check_alignment(_damaged(m), m.context().queries),
+    "check_summary": lambda m: V.check_summary(_damaged(m), M.names(m)),
+    "describe_features": lambda m: describe(M.feature_matrix(m), M.names(m)),
+    "price_offset_overall": E.price_offset_overall,
+    "sides_by_first_trade": lambda m: ordered_unique(m.trades, "side", ["timestamp", "row_id"]),
+    "feature_sample": lambda m: M.feature_sample(m, 500, 7),
     "lookahead_tracked": _tracked,
     "lookahead_differential": _differential,
     "sample_exact": lambda m: sample_exact(m.trades, 500, 7).select("row_id", "sym", "timestamp", "price", "amount"),
@@ -138,8 +151,23 @@ MAKERS: dict[str, Callable[[Market], DataFrame]] = {
 }
 
 
+def _sql_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = "SELECT event_type, count(*) AS n, sum(value) AS value FROM {events} WHERE user_id % 2 = 0 GROUP BY event_type"
+    return sql_scan(spark, sql, events=f"{sf_dir}/events.parquet")
+
+
+def _arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small result through an Arrow table and back."""
+    return from_arrow(spark, to_arrow(Q.hour_share(market(spark, sf_dir))))
+
+
+#: Queries that read files themselves.
+READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"sql_scan": _sql_scan, "arrow_round_trip": _arrow}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: (lambda spark, sf_dir, f=f: rounded(f(market(spark, sf_dir)))) for k, f in MAKERS.items()}
+    own = {k: (lambda spark, sf_dir, f=f: rounded(f(market(spark, sf_dir)))) for k, f in MAKERS.items()}
+    return own | {k: (lambda spark, sf_dir, f=f: rounded(f(spark, sf_dir))) for k, f in READERS.items()}
 
 
 # ------------------------------------------------------------------ DuckDB
@@ -229,6 +257,16 @@ N0, N1 = P.horizons_s[0], P.horizons_s[1]
 LAGS = {k: f"l{str(k).replace('-', 'm')}" for k in sorted({0, *P.lags_us})}
 
 
+#: n_nan counts NULL and NaN.
+FINITE = "SELECT *, n_nan = 0 AND n_inf = 0 AS ok FROM (SELECT feature, count(*) FILTER (WHERE value IS NULL OR isnan(value)) AS n_nan, count(*) FILTER (WHERE isinf(value)) AS n_inf FROM {source} GROUP BY feature)"
+ALIGNED = """SELECT *, n_missing = 0 AND n_extra = 0 AND n_repeated = 0 AS ok FROM (SELECT CAST(sum(m) AS BIGINT) AS n_rows, CAST(sum(q) AS BIGINT) AS n_queries, count(*) FILTER (WHERE m < q) AS n_missing, count(*) FILTER (WHERE q = 0) AS n_extra, count(*) FILTER (WHERE m > greatest(q, 1)) AS n_repeated
+ FROM (SELECT coalesce(m, 0) AS m, coalesce(q, 0) AS q FROM (SELECT sym, row_id, count(*) AS m FROM {matrix} GROUP BY ALL) a FULL JOIN (SELECT sym, row_id, count(*) AS q FROM trades GROUP BY ALL) b ON a.sym = b.sym AND a.row_id = b.row_id))"""
+#: dm: the matrix with rows missing, repeated and foreign; dl: its values, of the first feature some not finite.
+DAMAGED = f"""d0 AS (SELECT * FROM feat WHERE row_id % 7 <> 0),
+dm AS (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE row_id % 11 = 0 UNION ALL SELECT * REPLACE (-1 - row_id AS row_id) FROM d0 WHERE row_id % 13 = 0),
+dl AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS feature, " + (f"CASE (row_id % 5 + 5) % 5 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE WHEN 2 THEN 'nan'::DOUBLE ELSE {f} END" if f == FEATS[0] else f) + " AS value FROM dm" for f in FEATS) + ")"
+
+
 def _rules() -> str:
     liq, imb = FEATS[0], FEATS[3]
     sym = [f"SELECT 'symmetric_notional' AS rule, {x}e0 AS param, row_id, {liq} >= {x} AS filt FROM feat" for x in P.symmetric]
@@ -324,10 +362,25 @@ def oracle_sql() -> dict[str, str]:
         "conditional_means": _q(
             _r("SELECT *, against - with_push AS spread FROM (SELECT sym, split, tau, avg(pnl) AS baseline, avg(pnl) FILTER (WHERE active AND liq_against > 0.2) AS against, avg(pnl) FILTER (WHERE active AND liq_against < -0.2) AS with_push, count(*) FILTER (WHERE active AND liq_against > 0.2) AS n_against, count(*) FILTER (WHERE active AND liq_against < -0.2) AS n_with FROM cb GROUP BY ALL)", "baseline against with_push spread"),
             FEATURE_CTES, PNL_CTES, CONDITIONAL),
-        "check_finite": _q("SELECT feature, count(*) FILTER (WHERE value IS NULL) AS n_nan, CAST(0 AS BIGINT) AS n_inf, count(*) FILTER (WHERE value IS NULL) = 0 AS ok FROM lf GROUP BY feature", FEATURE_CTES, LONG_CTE),
-        "check_alignment": _q("SELECT count(*) AS n_rows, count(*) AS n_queries, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra, CAST(0 AS BIGINT) AS n_repeated, TRUE AS ok FROM feat", FEATURE_CTES),
-        "lookahead_tracked": _q(f"""SELECT 'forward_mid' AS feature, count(*) FILTER (WHERE src > t) AS n_violations, count(*) FILTER (WHERE src > t) = 0 AS ok FROM (SELECT tr.t, q.t AS src FROM tr ASOF LEFT JOIN q ON tr.sym = q.sym AND tr.t + {P.short_us} >= q.t)
-UNION ALL SELECT 'bbo_spread_bps', CAST(0 AS BIGINT), TRUE UNION ALL SELECT 'liq_notional_{SHORT}s', CAST(0 AS BIGINT), TRUE"""),
+        "check_finite": _q(FINITE.format(source="lf"), FEATURE_CTES, LONG_CTE),
+        "check_finite_damaged": _q(FINITE.format(source="dl"), FEATURE_CTES, DAMAGED),
+        "check_summary": _q(_r(f"SELECT a.*, n, min, max, 100.0e0 * n_nan / n AS nan_pct FROM ({FINITE.format(source='dl').replace('n_nan = 0 AND n_inf = 0', 'n_inf = 0')}) a JOIN (SELECT feature, count(*) AS n, min(value) FILTER (WHERE isfinite(value)) AS min, max(value) FILTER (WHERE isfinite(value)) AS max FROM dl GROUP BY feature) USING (feature)", "min max nan_pct"), FEATURE_CTES, DAMAGED),
+        "check_alignment": _q(ALIGNED.format(matrix="feat"), FEATURE_CTES),
+        "check_alignment_damaged": _q(ALIGNED.format(matrix="dm"), FEATURE_CTES, DAMAGED),
+        "describe_features": _q(_r("SELECT feature, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max FROM lf GROUP BY feature", "mean std min max"), FEATURE_CTES, LONG_CTE),
+        "price_offset_overall": _q(
+            _r("SELECT sym, count(*) AS n, median(abs(o)) AS median_abs_bps FROM (SELECT l.sym, (price - coalesce(a0.mid, fq.mid)) / coalesce(a0.mid, fq.mid) * 1e4 AS o FROM l1 l JOIN a0 USING (row_id) JOIN fq ON fq.sym = l.sym) GROUP BY ALL", "median_abs_bps"),
+            "l1 AS (SELECT * FROM liq WHERE feed = 'exchange_1')", _asof("a0", "l1", 0), "fq AS (SELECT sym, arg_min(mid, t) AS mid FROM q GROUP BY sym)"),
+        "sides_by_first_trade": _q("SELECT CAST(row_number() OVER (ORDER BY t, row_id) - 1 AS INT) AS place, side FROM (SELECT side, t, row_id FROM trades QUALIFY row_number() OVER (PARTITION BY side ORDER BY t, row_id) = 1)"),
+        "sql_scan": _r("SELECT event_type, count(*) AS n, sum(value) AS value FROM events WHERE user_id % 2 = 0 GROUP BY event_type", "value"),
+        "arrow_round_trip": _q(_r(f"SELECT *, n / CAST(sum(n) OVER (PARTITION BY feed, sym) AS DOUBLE) AS share FROM (SELECT feed, sym, CAST({SOD} // 3600 AS INT) AS hour, count(*) AS n FROM liq GROUP BY ALL)", "share")),
+        "lookahead_tracked": _q(f"""SELECT feature, count(*) FILTER (WHERE src > t) AS n_violations, count(*) FILTER (WHERE src > t) = 0 AS ok FROM (
+SELECT 'forward_mid' AS feature, tr.t, q.t AS src FROM tr ASOF LEFT JOIN q ON tr.sym = q.sym AND tr.t + {P.short_us} >= q.t
+UNION ALL SELECT 'bbo_spread_bps', tr.t, q.t FROM tr ASOF LEFT JOIN q ON tr.sym = q.sym AND tr.t >= q.t
+UNION ALL SELECT 'liq_notional_{SHORT}s', tr.t, max(e.t) FROM tr LEFT JOIN e ON e.sym = tr.sym AND e.t >= tr.t - {P.short_us} AND e.t < tr.t GROUP BY tr.row_id, tr.t) GROUP BY feature"""),
+        "lookahead_differential": _q(_r("SELECT feature, count(*) AS n_probe, count(*) FILTER (WHERE abs(a - b) > 1e-9) AS n_violations, coalesce(max(abs(a - b)) FILTER (WHERE abs(a - b) > 1e-9), 0.0e0) AS max_abs_diff, count(*) FILTER (WHERE abs(a - b) > 1e-9) = 0 AS ok FROM ("
+            f"SELECT 'inclusive_at_t' AS feature, wi.notional AS a, wc.notional AS b FROM wi JOIN wc USING (row_id) UNION ALL SELECT 'liq_notional_{SHORT}s', ws.notional, wc.notional FROM ws JOIN wc USING (row_id)) GROUP BY feature", "max_abs_diff"),
+            _win("ws", P.short_us), _win("wi", P.short_us, upto="<="), _win("wc", P.short_us, "e.t < tr.t", upto="<=")),
         "feature_ranking": _q(_r(f"SELECT feature, ic AS spearman_ic FROM ({_spear(f'(SELECT lf.*, pnl FROM lf JOIN pnl USING (row_id) WHERE tau = {N1})', 'value', 'pnl', 'feature', 10, 'ic')})", "spearman_ic"), FEATURE_CTES, PNL_CTES, LONG_CTE),
         "feature_ranking_toxic": _q(
             _r(f"SELECT feature, spearman_ic, ks FROM (SELECT feature, ic AS spearman_ic FROM ({_spear('rk', 'value', 'pnl', 'feature', 10, 'ic')})) JOIN (SELECT feature, max(abs(ca / na - cb / nb)) AS ks FROM (SELECT feature, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER p AS na, sum(b) OVER p AS nb FROM kr WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY feature)) GROUP BY ALL) USING (feature)", "spearman_ic ks"),

@@ -32,7 +32,11 @@ class Dataset:
             d = d.where(F.col("timestamp") >= start_us)
         if end_us is not None:
             d = d.where(F.col("timestamp") < end_us)
-        return (d.select(*columns) if columns else d).withColumn("sym", F.lit(sym)).withColumn("row_id", F.monotonically_increasing_id())
+        # a row's place in its file, which is the same in every plan
+        names = sorted({f.rsplit("/", 1)[-1] for f in d.inputFiles()})
+        ordinal = F.array_position(F.array(*[F.lit(n) for n in names] or [F.lit("")]), F.col("_metadata.file_name")) - 1
+        row_id = (F.shiftleft(ordinal.cast("long"), 40) + F.col("_metadata.row_index")).alias("row_id")
+        return d.select(*(columns or SCHEMAS[feed].names), F.lit(sym).alias("sym"), row_id)
 
 
 def empty(spark: SparkSession, feed: str) -> DataFrame:
@@ -77,6 +81,24 @@ class ArtifactStore:
         return self.spark.read.parquet(self.path(name))
 
 
+def sql_scan(spark: SparkSession, sql: str, **paths: str) -> DataFrame:
+    """A query over Parquet files, which stand in braces: sql_scan(spark, "SELECT max(t) FROM {quotes}", quotes=path).
+    Filters and columns reach the scans."""
+    return spark.sql(sql.format(**{k: f"parquet.`{v}`" for k, v in paths.items()}))
+
+
+def to_arrow(df: DataFrame, most: int = 1_000_000):
+    """A result of at most so many rows as an Arrow table; more is an error, not a cut."""
+    t = df.limit(most + 1).toArrow()
+    if t.num_rows > most:
+        raise ValueError(f"more than {most} rows")
+    return t
+
+
+def from_arrow(spark: SparkSession, table) -> DataFrame:
+    return spark.createDataFrame(table)
+
+
 def write_json(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").json(path)
     return path
