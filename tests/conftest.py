@@ -4,7 +4,8 @@ from tidemark.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build_session("tests", "local[8]", 4, **{"spark.driver.memory": "6g", "spark.sql.adaptive.coalescePartitions.enabled": "true"})
+def spark(tmp_path_factory):
+    shared = f"file://{tmp_path_factory.mktemp('shared')}"
+    s = build_session("tests", "local[8]", 4, **{"spark.checkpoint.dir": shared, "spark.driver.memory": "6g", "spark.sql.adaptive.coalescePartitions.enabled": "true"})
     s.sparkContext.setLogLevel("ERROR")
     return s

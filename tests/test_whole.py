@@ -1,11 +1,8 @@
 """Registered queries use all rows, features and probes that their definitions name."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tidemark import registry
-from tidemark.llm import decontamination, line_dedup
 from tidemark.operators.sample import every_nth
 from tidemark.plans import markout as M
 from tidemark.schema import EVENTS
@@ -24,31 +21,12 @@ def test_tree_r2_scores_every_feature(spark, monkeypatch):
     assert {r["feature"] for r in registry.MAKERS["tree_r2"](m).collect()} == set(M.names(m)) and asked == [50]
 
 
-def test_line_dedup_takes_short_lines(spark):
-    d = spark.createDataFrame([(1, "Les.\n\nabcdef\nab", 5), (2, "own\nLes.\n\nabcxef", 5), (3, "Les.\n\nab", 5), (4, "Led.\nabcdefgh\n  ", 5)], "doc_id long, text string, n_chars long")
-    gone = line_dedup.repeated_lines(d, **line_dedup.ALL_LINES).collect()
-    assert sorted(tuple(r) for r in gone) == [(2, 1, 1, 0), (2, 3, 1, 2), (3, 0, 1, 0), (3, 2, 1, 3), (4, 1, 1, 2)]
-    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line(spark, d, "").collect()}
-    assert got == {1: ("Les.\n\nabcdef\nab", 15), 2: ("own\n", 4), 4: ("Led.\n  ", 7)}
-
-
 def test_lookahead_differential_probes_every_trade(spark):
     m = market(spark, "/root/testdata/sf0.001")
     n = m.context().n_trades()
     assert n > 128 and {r["n_probe"] for r in registry.MAKERS["lookahead_differential"](m).collect()} == {n}
 
 
-def test_decontamination_does_not_depend_on_keys(monkeypatch):
-    rng = np.random.default_rng(3)
-    item = rng.integers(1, 1 << 62, 400).astype(np.uint64)
-    text = np.concatenate([item[:50], rng.integers(1, 1 << 62, 60).astype(np.uint64), item[50:]])
-    it = decontamination.prepare([(7, " ".join(map(str, item)))], 0.2, 0.995, 8)
-    w = np.concatenate([it.w[:50], text[50:110], it.w[50:]])
-    calls = iter(range(1 << 20))
-    monkeypatch.setattr(decontamination.Items, "keys", lambda self, w, start, m, end: np.full((len(start), 1), next(calls), np.uint64))
-    assert decontamination.matches_in(it, w, np.asarray([0, len(w)])) == {(0, 0): (50, 460)}
-
-
 def test_feature_ranking_toxic_falls(spark):
     d = registry.queries()["feature_ranking_toxic"](spark, "/root/testdata/sf0.001")
     ic = [abs(r["spearman_ic"]) for r in d.collect()]
