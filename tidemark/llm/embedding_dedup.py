@@ -1,47 +1,93 @@
 """Embedding near-dedup: iterative quantisation, multi-index Hamming tables, exact rerank.
 
-A PCA projection and a rotation that balances the bits (ITQ) are fitted on a bounded sample; every
-vector gets a 64-bit code. Codes are cut into substrings, each the key of a table; near codes differ
-in at most one bit of some substring, so each code probes its substrings and their one-bit neighbours.
-A pair is taken in the first table that finds it, if its codes are near as wholes, and is then decided
-by the cosine of the original vectors in double precision.
+A PCA projection and a rotation that balances the bits (ITQ) are fitted on a bounded sample; with fewer
+dimensions than bits, random rotations add bits. Every vector gets a binary code, cut into keys, each of
+a table: a key has about as many bits as the largest label has rows in binary digits. Near codes differ in
+at most one bit of some key, so each code probes its keys and their one-bit neighbours. The number
+of tables follows from the recall asked for, as measured on sampled vectors and copies turned by the
+threshold's angle inside the projected space, where turning flips the most bits. A pair is taken in
+the first table that finds it, if its codes are near as wholes, and is then decided by the cosine
+of the original vectors in double precision.
 
 Equal vectors of a label form a class before any of this: a vector that a third of all rows repeat is
-one entry with a count. Labels, lengths and table keys are join keys; nothing is capped.
+one entry with a count. Classes have ids of their own, as vec_ids may repeat. Labels, lengths and table
+keys are join keys; nothing is capped.
 
 Edge cases: rows whose label, vec_id or vector is NULL, or whose vector is zero or holds NULL or a
-non-finite number, link with nothing; vectors link only with those of their own length; repeated rows
-are rows like others; a NULL vec_id has no component and is kept; other columns are ignored.
+non-finite number, link with nothing; vectors link only with those of their own length; very small and
+very large components are scaled by a power of two; repeated rows are rows like others; a NULL vec_id
+has no component and is kept; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 
-BITS = 64
-
-
-def fit_itq(x: np.ndarray, rounds: int = 30, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """mean, projection: the signs of (x - mean) @ projection are balanced codes of up to 64 bits."""
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    mean = x.mean(0)
-    c = x - mean
-    _, vec = np.linalg.eigh(c.T @ c)
-    w = vec[:, ::-1][:, :BITS]
-    v = c @ w
-    r = np.linalg.qr(np.random.default_rng(seed).normal(size=(w.shape[1], w.shape[1])))[0]
-    for _ in range(rounds):
-        u, _, t = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-        r = (u @ t).T
-    return mean, w @ r
+#: Dimensions that a rotation has at most; bits of a key; bytes of the sample on the driver.
+DIMS, LEAST_KEY, MOST_KEY, SAMPLE_BYTES = 64, 8, 32, 64 << 20
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that squares neither vanish nor overflow; cosines stay as they are."""
+    most = np.abs(x).max(1, initial=0.0)
+    return np.ldexp(x, -np.frexp(most)[1][:, None])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+class ITQ:
+    """Codes of any number of bits: signs of the projected vectors after rotations. The first is found by
+    alternating between signs and the rotation that fits them best; bits beyond it are of random ones,
+    as the same search would find the same bits again."""
+
+    def __init__(self, x: np.ndarray, rounds: int = 30, seed: int = 5) -> None:
+        """x: sampled vectors, a row each."""
+        x = unit(x)
+        self.mean, self.rounds, self.seed = x.mean(0), rounds, seed
+        _, vec = np.linalg.eigh((x - self.mean).T @ (x - self.mean))
+        self.basis = vec[:, ::-1][:, :DIMS]
+        self.sample = (x - self.mean) @ self.basis
+        self.parts: list[np.ndarray] = []
+
+    def projection(self, bits: int) -> np.ndarray:
+        while sum(p.shape[1] for p in self.parts) < bits:
+            d = self.basis.shape[1]
+            r = np.linalg.qr(np.random.default_rng(self.seed + len(self.parts)).normal(size=(d, d)))[0]
+            for _ in range(0 if self.parts else self.rounds):
+                u, _, t = np.linalg.svd(np.where(self.sample @ r >= 0, 1.0, -1.0).T @ self.sample)
+                r = (u @ t).T
+            self.parts.append(self.basis @ r)
+        return np.concatenate(self.parts, 1)[:, :bits] if bits else np.zeros((len(self.mean), 0))
+
+    def tables(self, key: int, threshold: float, recall: float, trials: int = 512) -> int:
+        """Tables of keys of so many bits that reach the recall."""
+        rng = np.random.default_rng(self.seed)
+        x = self.mean + self.sample[rng.integers(len(self.sample), size=trials)] @ self.basis.T
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        u = rng.normal(size=(trials, self.basis.shape[1])) @ self.basis.T
+        u -= (u * x).sum(1, keepdims=True) * x
+        length = np.linalg.norm(u, axis=1, keepdims=True)
+        u = np.divide(u, length, out=np.zeros_like(u), where=length > 1e-9)
+        y = threshold * x + np.sqrt(1 - threshold**2) * u
+        met, n = np.zeros(trials, bool), 0
+        while n == 0 or met.mean() < recall:
+            n += 1
+            p = self.projection(n * key)[:, -key:]
+            flips = (((x - self.mean) @ p >= 0) != ((y - self.mean) @ p >= 0)).sum(1)
+            met |= flips <= 1
+        return n
 
 
 def _matrix(c: pa.Array, width: int) -> np.ndarray:
@@ -54,63 +100,68 @@ def _matrix(c: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = 20_000, tables: int = 4, radius: int = 16) -> DataFrame:
-    """vec_id, n_links, component_id, kept. sample: rows that the codes are fitted on; radius: bits in
-    which the codes of a pair may differ."""
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = 20_000, recall: float = 0.99) -> DataFrame:
+    """vec_id, n_links, component_id, kept. sample: rows that the codes are fitted on, fewer where they
+    are long; recall: of pairs at the threshold."""
     v = vectors.select("vec_id", "label", "embedding")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = v.where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL").where(F.coalesce(~bad, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
     key = ["label", "h1", "h2"]
     good = good.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")})
-    classes = C.written(good.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")), "vector-classes")
-    reps = good.join(classes, key).where("vec_id = rep").dropDuplicates([*key])
-    reps = C.written(reps.select("vec_id", "label", "m", F.size("embedding").alias("dim"), "embedding"), "vector-reps")
+    classes = good.groupBy(*key).agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("m"), F.min("embedding").alias("embedding"))
+    reps = C.written(classes.select(F.monotonically_increasing_id().alias("id"), *key, "least", "m", F.size("embedding").alias("dim"), "embedding"), "vector-classes")
+    classes = reps.select("id", *key, "least", "m")
 
-    width = reps.agg(F.max("dim")).first()[0] or 1
-    some = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column("embedding").combine_chunks()
-    mean, proj = fit_itq(_matrix(some, width)) if len(some) else (np.zeros(width), np.eye(width)[:, :BITS])
+    types = dict(reps.dtypes)
+    most = reps.agg(F.max("dim")).first()[0] or 1
+    n_label = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    bits = int(np.clip(np.ceil(np.log2(n_label)), LEAST_KEY, MOST_KEY))
+    rows = max(1, min(sample, SAMPLE_BYTES // (8 * most)))
+    some = reps.orderBy(F.xxhash64("id"), "id").limit(rows).select("embedding").toArrow().column("embedding").combine_chunks()
+    itq = ITQ(_matrix(some, most) if len(some) else np.ones((1, most)))
+    tables = itq.tables(bits, threshold, recall)
+    mean, proj = itq.mean, itq.projection(tables * bits)
+    # flips of the whole code, beyond which a pair at the threshold is out by six deviations
+    flip = np.arccos(threshold) / np.pi
+    radius = int(np.ceil(2 * tables * bits * flip + 6 * np.sqrt(tables * bits * flip)))
+    names = [f"k{t}" for t in range(tables)]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.uint64(1) << np.arange(bits, dtype=np.uint64)
         for b in batches:
-            x = _matrix(C.column(b, "embedding"), width)
-            bits = (x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ proj >= 0
-            code = (bits.astype(np.uint64) << np.arange(bits.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([C.column(b, n) for n in ("vec_id", "label", "dim")] + [pa.array(code.view(np.int64))], names=["vec_id", "label", "dim", "code"])
-
-    types = dict(reps.dtypes)
-    codes = C.written(reps.mapInArrow(encode, f"vec_id {types['vec_id']}, label {types['label']}, dim int, code long"), "vector-codes")
-    step = BITS // tables
-    mask = (1 << step) - 1
-    part = lambda c, t: F.shiftrightunsigned(c, t * step).bitwiseAND(F.lit(mask))
-    flips = [0, *[1 << i for i in range(step)]]
-    index = codes.select("label", "dim", F.col("vec_id").alias("b"), F.col("code").alias("cb"), F.explode(F.array(*[F.struct(F.lit(t).alias("t"), part("code", t).alias("s")) for t in range(tables)])).alias("x")).select("label", "dim", "b", "cb", "x.t", "x.s")
-    probe = codes.select("label", "dim", F.col("vec_id").alias("a"), F.col("code").alias("ca"), F.explode(F.array(*[F.struct(F.lit(t).alias("t"), part("code", t).alias("s")) for t in range(tables)])).alias("x"))
-    probe = probe.select("label", "dim", "a", "ca", "x.t", F.explode(F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: F.col("x.s").bitwiseXOR(f))).alias("s"))
-    diff = F.col("ca").bitwiseXOR(F.col("cb"))
-    earlier = F.lit(False)
-    for t in range(tables - 1):
-        earlier = earlier | ((F.col("t") > t) & (F.bit_count(part(diff, t)) <= 1))
-    on = ["label", "dim", "t", "s"]
-    pairs = probe.join(index, on).where((F.col("a") < F.col("b")) & (F.bit_count(diff) <= radius) & ~earlier).select("a", "b")
-
-    vec = reps.select("vec_id", "m", "embedding")
-    left = pairs.join(vec.select(F.col("vec_id").alias("a"), F.col("m").alias("ma"), F.col("embedding").alias("ea")), "a")
-    both = left.join(vec.select(F.col("vec_id").alias("b"), F.col("m").alias("mb"), F.col("embedding").alias("eb")), "b").select("a", "b", "ma", "mb", "ea", "eb")
+            sign = (unit(_matrix(C.column(b, "embedding"), most)) - mean) @ proj >= 0
+            code = [(sign[:, t * bits : (t + 1) * bits] * weight).sum(1, dtype=np.uint64).view(np.int64) for t in range(tables)]
+            yield pa.RecordBatch.from_arrays([*[C.column(b, n) for n in ("id", "label", "dim")], *map(pa.array, code)], names=["id", "label", "dim", *names])
+
+    codes = C.written(reps.select("id", "label", "dim", "embedding").mapInArrow(encode, f"id long, label {types['label']}, dim int, {', '.join(f'{n} long' for n in names)}"), "vector-codes")
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col(n).alias("s")) for t, n in enumerate(names)])
+    own = lambda x: [F.col("id").alias(x), *[F.col(n).alias(f"{x}{n}") for n in names]]
+    index = codes.select("label", "dim", *own("b"), F.inline(keys))
+    flips = F.array(*[F.lit(f).cast("long") for f in (0, *[1 << i for i in range(bits)])])
+    probe = codes.select("label", "dim", *own("a"), F.inline(keys)).select("label", "dim", *[f"a{n}" for n in names], "a", "t", F.explode(F.transform(flips, lambda f: F.col("s").bitwiseXOR(f))).alias("s"))
+    differ = [F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names]
+    earlier = reduce(Column.__or__, [(F.col("t") > t) & (d <= 1) for t, d in enumerate(differ[:-1])], F.lit(False))
+    pairs = probe.join(index, ["label", "dim", "t", "s"]).where((F.col("a") < F.col("b")) & (reduce(Column.__add__, differ) <= radius) & ~earlier).select("a", "b")
+
+    vec = reps.select("id", "m", "embedding")
+    left = pairs.join(vec.select(F.col("id").alias("a"), F.col("m").alias("ma"), F.col("embedding").alias("ea")), "a")
+    both = left.join(vec.select(F.col("id").alias("b"), F.col("m").alias("mb"), F.col("embedding").alias("eb")), "b").select("a", "b", "ma", "mb", "ea", "eb")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = _matrix(C.column(b, "ea"), width), _matrix(C.column(b, "eb"), width)
+            x, y = scaled(_matrix(C.column(b, "ea"), most)), scaled(_matrix(C.column(b, "eb"), most))
             cos = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
             yield pa.RecordBatch.from_arrays([C.column(b, n) for n in ("a", "b", "ma", "mb")], names=["a", "b", "ma", "mb"]).filter(pa.array(cos >= threshold))
 
-    k = types["vec_id"]
-    links = C.written(both.mapInArrow(rerank, f"a {k}, b {k}, ma long, mb long"), "vector-links")
+    links = C.written(both.mapInArrow(rerank, "a long, b long, ma long, mb long"), "vector-links")
     comp = C.components(links, "vector")
-    n = links.select(F.col("a").alias("rep"), F.col("mb").alias("m")).unionByName(links.select(F.col("b").alias("rep"), F.col("ma").alias("m"))).groupBy("rep").agg(F.sum("m").alias("others"))
-    found = classes.join(n, "rep", "left").join(comp.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-    found = found.select(*key, (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component_id", "rep").alias("c"))
+    n = links.select(F.col("a").alias("id"), F.col("mb").alias("m")).unionByName(links.select(F.col("b").alias("id"), F.col("ma").alias("m"))).groupBy("id").agg(F.sum("m").alias("others"))
+    label = comp.join(classes.select("id", "least"), "id")
+    first = label.groupBy("component_id").agg(F.min("least").alias("first"))
+    found = classes.join(n, "id", "left").join(comp.join(first, "component_id").select("id", "first"), "id", "left")
+    found = found.select(*key, (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("first", "least").alias("c"))
     member = v.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")}).where("vec_id IS NOT NULL AND label IS NOT NULL").join(found, key, "left")
-    rest = v.where("vec_id IS NULL OR label IS NULL").select("vec_id", F.lit(None).cast("long").alias("n"), F.lit(None).cast(k).alias("c"))
+    rest = v.where("vec_id IS NULL OR label IS NULL").select("vec_id", F.lit(None).cast("long").alias("n"), F.lit(None).cast(dict(v.dtypes)["vec_id"]).alias("c"))
     d = member.select("vec_id", "n", "c").unionByName(rest)
     c = F.coalesce("c", "vec_id")
     return d.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), c.alias("component_id"), F.coalesce(c == F.col("vec_id"), F.lit(True)).alias("kept"))
