@@ -55,8 +55,10 @@ def check_no_lookahead(features: Sequence[Feature], ctx: FeatureContext, n_probe
     if n > max(n_probe, exhaustive_below):
         probes = probes.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(n_probe)
     names = [f.name for f in features]
-    full, cut = ctx.fresh(), ctx.truncated(probes)
-    a = full.evaluate({f.name: f.calculate(full) for f in features}).select(*ctx.keys, "row_id", *names)
+    full = ctx.fresh()
+    cols = {f.name: f.calculate(full) for f in features}
+    cut = ctx.truncated(probes, list(full.requests.values()))
+    a = full.evaluate(cols).select(*ctx.keys, "row_id", *names)
     b = cut.evaluate({f.name: f.calculate(cut) for f in features}).select(*ctx.keys, "row_id", *[F.col(c).alias(f"{c}|cut") for c in names])
     j = b.join(a, [*ctx.keys, "row_id"])
     diff = lambda c: F.abs(F.col(c) - F.col(f"`{c}|cut`"))
