@@ -168,11 +168,16 @@ def repeated_lines(docs: DataFrame, k: int = K, min_chars: int = 20, equal_chars
         raise ValueError("min_chars must be above 2k + 1")
     own = F.struct("doc_id", "line_no")
     every = C.written(lines(docs, min_chars, equal_chars).select("doc_id", "line_no", "h1", "h2"), "line-places")
-    first = C.written(every.groupBy("h1", "h2").agg(F.min(own).alias("own")), "line-first")
+    first = C.written(every.groupBy("h1", "h2").agg(F.min(own).alias("own"), F.max(own).alias("last")), "line-first")
     near = C.written(near_lines(docs, k, min_chars), "line-near")
     both = near.unionByName(near.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
     other = both.join(first, F.expr("b1 = h1 AND b2 = h2")).groupBy("a1", "a2").agg(F.min("own").alias("other"))
-    earliest = first.join(other, F.expr("h1 = a1 AND h2 = a2"), "left").select("h1", "h2", F.least("own", "other").alias("of"))
+    # a table of its own: the places of one line, of which a third of all documents may have one, are then
+    # a side of a join that Spark can split; lines that remove nothing are left out
+    # a table of its own: the places of one line, of which a third of all documents may have one, are then
+    # a side of a join that Spark can split; lines that remove nothing are left out
+    earliest = first.join(other, F.expr("h1 = a1 AND h2 = a2"), "left").select("h1", "h2", F.least("own", "other").alias("of"), "last")
+    earliest = C.written(earliest.where("of < last").drop("last"), "line-earliest")
     return every.join(earliest, ["h1", "h2"]).where(own > F.col("of")).select("doc_id", "line_no", F.col("of.doc_id").alias("of_doc"), F.col("of.line_no").alias("of_line")).distinct()
 
 
