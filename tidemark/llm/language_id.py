@@ -5,8 +5,9 @@ all languages that contain it. A document's popcount per language, less the fals
 fill of that language's slice predicts, decides; the score is the winner's part of all counts.
 
 The filters are learned from a bounded sample of labelled rows: the most frequent n-grams of each
-language, without those that another language uses far more often. Their size does not grow with the
-corpus, so they are broadcast with the closure.
+language, without those that another language uses far more often. Every label is learned. The size of
+the filter does not grow with the corpus, only with the number of labels, so it is broadcast. ``known`` is the part
+of a text's n-grams that the winner's filter holds; ``usual`` is the low quantile of it in the sample.
 
 Edge cases: NULL texts and texts without a letter are ``und`` with score 0, and so is everything if
 nothing was learned; ties go to the language that comes first in the alphabet; other columns pass
@@ -28,6 +29,10 @@ from pyspark.sql import types as T
 from tidemark.llm import common as C
 
 UNDETERMINED = "und"
+#: Bytes of the filter, above which slices get denser, down to 8 slots an n-gram.
+FILTER_BYTES = 64 << 20
+#: Bytes of the filter, above which slices get denser, down to 8 slots an n-gram.
+FILTER_BYTES = 64 << 20
 LETTER = re.compile(r"[^\W\d_]")
 _alpha: list[np.ndarray] = []
 
@@ -63,12 +68,17 @@ class BitmaskFilter:
     langs: list[str]
     masks: np.ndarray  # slots x words
     hashes: int = 3
+    usual: float = 0.0
+    usual: float = 0.0
 
     @classmethod
     def build(cls, langs: list[str], members: dict[str, np.ndarray], hashes: int = 3) -> BitmaskFilter:
-        total = sum(len(m) for m in members.values())
-        slots = 1 << max(12, int(np.ceil(np.log2(max(1, total) * 8))))
-        f = cls(langs, np.zeros((slots, -(-len(langs) // 64) or 1), np.uint64), hashes)
+        # a language's slice holds its own n-grams alone, so its fill does not depend on the others
+        most, words = max((len(m) for m in members.values()), default=0), -(-len(langs) // 64) or 1
+        slots = 1 << max(12, int(np.ceil(np.log2(max(1, most) * 64))))
+        while slots * words * 8 > FILTER_BYTES and slots > 8 * most:
+            slots //= 2
+        f = cls(langs, np.zeros((slots, words), np.uint64), hashes)
         for i, lang in enumerate(langs):
             for s in f.slots(members[lang]):
                 f.masks[s, i // 64] |= np.uint64(1 << (i % 64))
@@ -99,16 +109,17 @@ class BitmaskFilter:
         return out
 
 
-def train(labelled: DataFrame, per_language: int = 1500, top: int = 4000, ratio: float = 0.3, max_languages: int = 256) -> BitmaskFilter:
+def train(labelled: DataFrame, per_language: int = 1500, top: int = 4000, ratio: float = 0.3, low: float = 0.01) -> BitmaskFilter:
     """labelled: doc_id, text, lang. About per_language documents of each language, whole, chosen by a
-    hash of doc_id; of more than max_languages labels the commonest."""
-    d = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    hash of doc_id. low: the quantile that ``usual`` is."""
+    d = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return BitmaskFilter.build([], {})
-    rate = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / v)))])
-    some = d.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / float(1 << 30) < rate[F.col("lang")]).select("lang", "text")
+    size = F.broadcast(labelled.sparkSession.createDataFrame(list(sizes.items()), "lang string, size long"))
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / float(1 << 30) < F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("size"))
+    some = d.join(size, "lang").where(chosen).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.pieces(batches):
@@ -126,25 +137,32 @@ def train(labelled: DataFrame, per_language: int = 1500, top: int = 4000, ratio:
     c = c.withColumn("best", F.max("p").over(Window.partitionBy("gram"))).where(F.col("p") >= F.col("best") * ratio)
     t = c.select("lang", "gram").toArrow()
     lang, gram = np.asarray(t.column("lang").to_pylist(), object), t.column("gram").to_numpy().view(np.uint64)
-    return BitmaskFilter.build(langs, {x: gram[lang == x] for x in langs})
+    model = BitmaskFilter.build(langs, {x: gram[lang == x] for x in langs})
+    names = ("__lang", "__score", "__known")
+    model.usual = predict(some, model, names).where(F.col("__lang") != UNDETERMINED).agg(F.percentile_approx("__known", low)).first()[0] or 0.0
+    return model
 
 
-def predict(docs: DataFrame, model: BitmaskFilter, as_: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with lang_pred and score, or as they are to be called."""
+def predict(docs: DataFrame, model: BitmaskFilter, as_: tuple[str, str, str] = ("lang_pred", "score", "known")) -> DataFrame:
+    """docs with lang_pred, score and known, or as they are to be called."""
     docs = docs.drop(*as_)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
         for b in C.pieces(batches):
             texts = C.column(b, "text").to_pylist()
-            count = model.counts(*grams(texts)) if model.langs else np.zeros((len(texts), 1))
+            h, off = grams(texts)
+            count = model.counts(h, off) if model.langs else np.zeros((len(texts), 1))
             best, total = count.argmax(1), count.sum(1)
             score = np.divide(count.max(1), total, out=np.zeros(len(texts)), where=total > 0)
-            known = [bool(model.langs and t and LETTER.search(t)) for t in texts]
-            pred = [model.langs[i] if k else UNDETERMINED for i, k in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[C.column(b, n) for n in names], pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], names=[*names, *as_])
+            known = np.divide(count.max(1), np.diff(off), out=np.zeros(len(texts)), where=np.diff(off) > 0)
+            told = [bool(model.langs and t and LETTER.search(t)) for t in texts]
+            pred = [model.langs[i] if k else UNDETERMINED for i, k in zip(best, told, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[C.column(b, n) for n in names], pa.array(pred, pa.string()), pa.array(np.where(told, score, 0.0)), pa.array(np.where(told, known, 0.0))], names=[*names, *as_])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(as_[0], T.StringType()), T.StructField(as_[1], T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(as_[0], T.StringType()), *[T.StructField(x, T.DoubleType()) for x in as_[1:]]])
+    held = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(run, schema)
 
 
