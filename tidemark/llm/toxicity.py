@@ -6,7 +6,7 @@ the text. The fit takes a bounded sample of labelled rows to the driver; scoring
 and needs only the weights that are not zero.
 
 Edge cases: NULL and empty texts have no words and get the severity of the thresholds alone; labels
-without a document, or NULL, are not used; with fewer than two grades in the sample, severity is the
+without a document, or NULL, are not used, and of several labels of a document the highest counts; with fewer than two grades in the sample, severity is the
 one grade; other columns pass through, and columns named like the results are replaced.
 """
 
@@ -60,7 +60,7 @@ class OrdinalModel:
         return sigmoid(z[:, None] - self.thresholds[None, :])
 
 
-def fit(row: np.ndarray, f: np.ndarray, grade: np.ndarray, l2: float = 2e-4, steps: int = 250, rate: float = 0.1, min_docs: int = 3) -> OrdinalModel:
+def fit(row: np.ndarray, f: np.ndarray, grade: np.ndarray, l2: float = 1e-3, steps: int = 250, rate: float = 0.1, min_docs: int = 3) -> OrdinalModel:
     """Adam on the likelihood of the grades, whose classes weigh the same in all. Words of fewer than
     min_docs texts get no weight."""
     k = int(grade.max()) if len(grade) else 0
@@ -102,7 +102,7 @@ def fit(row: np.ndarray, f: np.ndarray, grade: np.ndarray, l2: float = 2e-4, ste
 
 def gather(docs: DataFrame, graded: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, grade) of about ``sample`` documents of graded (doc_id, grade), by a hash of doc_id."""
-    some = graded.where("doc_id IS NOT NULL AND grade IS NOT NULL").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    some = graded.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     d = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # sample bounds its size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
