@@ -65,15 +65,17 @@ def demand_inverse(y: Column, knots: Sequence[float]) -> Column:
 
 
 def sized(docs: DataFrame, pattern: str = r"[^\x20\x09-\x0D]+") -> DataFrame:
+    """doc_id, source, size and h, the hash that orders a source: of doc_id, or of the text without one, so
+    that rows without doc_id are not of one hash."""
     size = F.coalesce(F.regexp_count("text", F.lit(pattern)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"))
+    return docs.select("doc_id", "source", size.alias("size"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")).alias("h"))
 
 
 def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, share: float = 1.5, cap: int = 2) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted), and
     passes: array of (position in [0, 1], words) of each pass over the document that the mix makes.
     Sorted by first position, over ranges of it; what is not taken comes last."""
-    base = sized(docs).select("*", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey"), F.xxhash64("doc_id").alias("h"))
+    base = sized(docs).select("*", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey"))
     base = C.written(base, "mix-sizes")
     bits = max(4, min(20, math.ceil(math.log2(base.count() / SLICE + 1))))
     base = base.withColumn("slice", F.shiftright("h", 64 - bits))
