@@ -31,3 +31,10 @@ def test_feature_ranking_toxic_falls(spark):
     d = registry.queries()["feature_ranking_toxic"](spark, "/root/testdata/sf0.001")
     ic = [abs(r["spearman_ic"]) for r in d.collect()]
     assert d.columns == ["feature", "spearman_ic", "ks"] and len(ic) == 10 and ic == sorted(ic, reverse=True)
+
+
+def test_ranks_do_not_depend_on_pieces(spark):
+    one, many = (market(spark, "/root/testdata/sf0.001", EVENTS.but(rank_buckets=n)) for n in (1, 8))
+    rows = lambda d: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in d.collect())
+    for f in (M.ic_table, M.imbalance_ic, M.conditional_ic):
+        assert rows(f(one)) == rows(f(many))

@@ -84,7 +84,7 @@ def ic_table(m: Market, sample: DataFrame | None = None) -> DataFrame:
     d = feature_sample(m) if sample is None else sample
     pn = [f"pnl_{h}" for h in m.params.horizons_s]
     long = unpivot(d, names(m), ["sym", "split", *pn])
-    return stats.spearman(long_pnl(long, m, ["sym", "feature", "split", "value"]), "value", "pnl", ["sym", "feature", "split", "tau"], 100)
+    return stats.spearman(long_pnl(long, m, ["sym", "feature", "split", "value"]), "value", "pnl", ["sym", "feature", "split", "tau"], 100, buckets=m.params.rank_buckets)
 
 
 def psi_table(m: Market, sample: DataFrame | None = None) -> DataFrame:
@@ -105,7 +105,7 @@ def spearman_matrix(m: Market, sample: DataFrame | None = None) -> DataFrame:
     fs = names(m)
     pairs = [(a, b) for i, a in enumerate(fs) for b in fs[i + 1 :]]
     arr = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
-    s = stats.spearman(d.select("sym", F.inline(arr)), "x", "y", ["sym", "a", "b"], 100, "rho").select("sym", "a", "b", "rho")
+    s = stats.spearman(d.select("sym", F.inline(arr)), "x", "y", ["sym", "a", "b"], 100, "rho", m.params.rank_buckets).select("sym", "a", "b", "rho")
     diag = d.select("sym").distinct().select("sym", F.explode(F.array(*[F.lit(f) for f in fs])).alias("a")).select("sym", "a", F.col("a").alias("b"), F.lit(1.0).alias("rho"))
     return s.unionByName(s.select("sym", F.col("b").alias("a"), F.col("a").alias("b"), "rho")).unionByName(diag)
 
@@ -136,7 +136,7 @@ def conditional_ic(m: Market, sample: DataFrame | None = None) -> DataFrame:
     d = d.withColumn("resid", F.col("pnl") - F.avg("pnl").over(Window.partitionBy(*g, "dec")))
     five = [("ic_imb_against", "imb_against", "pnl"), ("ic_liq_against_raw", "liq_against", "pnl"), ("ic_liq_against_resid", "liq_against", "resid"), ("ic_liqn_raw", "liqn", "pnl"), ("ic_liqn_resid", "liqn", "resid")]
     long = d.select(*g, F.inline(F.array(*[F.struct(F.lit(n).alias("which"), F.col(x).alias("x"), F.col(y).alias("y")) for n, x, y in five])))
-    return pivoted(stats.spearman(long, "x", "y", [*g, "which"], 2), g, "which", [n for n, _, _ in five], "ic")
+    return pivoted(stats.spearman(long, "x", "y", [*g, "which"], 2, buckets=m.params.rank_buckets), g, "which", [n for n, _, _ in five], "ic")
 
 
 def conditional_means(m: Market, sample: DataFrame | None = None) -> DataFrame:
@@ -158,5 +158,5 @@ def imbalance_ic(m: Market) -> DataFrame:
     arr = F.array(*[F.struct(F.lit(h).alias("horizon_s"), S.bps(r.column, F.col("m0")).alias("fwd")) for h, r in zip(p.imbalance_s, reqs, strict=True)])
     long = d.select("sym", "imb", "dev", F.inline(arr))
     g = ["sym", "horizon_s"]
-    a, b = stats.spearman(long, "imb", "fwd", g, 2, "ic_imbalance").drop("n"), stats.spearman(long, "dev", "fwd", g, 2, "ic_microprice").drop("n")
+    a, b = (stats.spearman(long, x, "fwd", g, 2, out, p.rank_buckets).drop("n") for x, out in (("imb", "ic_imbalance"), ("dev", "ic_microprice")))
     return a.join(b, g)

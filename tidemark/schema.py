@@ -50,6 +50,8 @@ class Params:
     train_days: int = 62
     val_days: int = 28
     bucket_us: int | None = DAY
+    #: Pieces in which a group is ranked, so that no task sorts all its rows.
+    rank_buckets: int = 64
 
     def but(self, **kw) -> Params:
         return replace(self, **kw)
@@ -64,5 +66,5 @@ EVENTS = Params(
     cascade_n=3, cascade_notional=1_500.0, cascade_s=1_200.0,
     lags_us=tuple(k * 60 * SECOND for k in (-30, -10, -5, -1, 0, 1, 5, 10, 30, 60)),
     bin_us=60 * SECOND, post_bins=60, acf_bin_us=60 * SECOND, acf_lags=(1, 2, 3, 5, 8, 13),
-    imbalance_s=(300, 1_800, 7_200), burst=2, train_days=20, val_days=10,
+    imbalance_s=(300, 1_800, 7_200), burst=2, train_days=20, val_days=10, rank_buckets=1,
 )
