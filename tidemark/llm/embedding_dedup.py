@@ -1,7 +1,7 @@
 """Embedding near-dedup: iterative quantisation, multi-index Hamming tables, exact rerank.
 
 A PCA projection and a rotation that balances the bits (ITQ) are fitted on a bounded sample; with fewer
-dimensions than bits, random rotations add bits. Every vector gets a binary code, cut into keys, each of
+dimensions than bits, random rotations and directions add bits. Every vector gets a binary code, cut into keys, each of
 a table: a key has about as many bits as the largest label has rows in binary digits. Near codes differ in
 at most one bit of some key, so each code probes its keys and their one-bit neighbours. The number
 of tables follows from the recall asked for, as measured on sampled vectors and copies turned by the
@@ -34,6 +34,8 @@ from tidemark.llm import common as C
 
 #: Dimensions that a rotation has at most; bits of a key; bytes of the sample on the driver.
 DIMS, LEAST_KEY, MOST_KEY, SAMPLE_BYTES = 64, 8, 32, 64 << 20
+#: Of the pairs that no table has found yet, the part that another must find for its planes to go on.
+LEAST_GAIN = 0.3
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -48,34 +50,43 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class ITQ:
-    """Codes of any number of bits: signs of the projected vectors after rotations. The first is found by
-    alternating between signs and the rotation that fits them best; bits beyond it are of random ones,
-    as the same search would find the same bits again."""
+    """Codes of any number of bits: on which side of a plane a vector is. The first planes go through the mean
+    along a rotation that is found by alternating between signs and the rotation that fits them best; the
+    same search would find the same planes again, so the next ones are of random rotations. Where these
+    no longer find new pairs, as with few dimensions or a mean that nearly all vectors are at, planes go through the
+    origin in random directions, of which turning by a small angle crosses few, whatever the data."""
 
     def __init__(self, x: np.ndarray, rounds: int = 30, seed: int = 5) -> None:
         """x: sampled vectors, a row each."""
-        x = unit(x)
-        self.mean, self.rounds, self.seed = x.mean(0), rounds, seed
-        _, vec = np.linalg.eigh((x - self.mean).T @ (x - self.mean))
+        self.x = unit(x)
+        self.mean, self.rounds, self.seed, self.centred = self.x.mean(0), rounds, seed, True
+        _, vec = np.linalg.eigh((self.x - self.mean).T @ (self.x - self.mean))
         self.basis = vec[:, ::-1][:, :DIMS]
-        self.sample = (x - self.mean) @ self.basis
-        self.parts: list[np.ndarray] = []
-
-    def projection(self, bits: int) -> np.ndarray:
-        while sum(p.shape[1] for p in self.parts) < bits:
-            d = self.basis.shape[1]
-            r = np.linalg.qr(np.random.default_rng(self.seed + len(self.parts)).normal(size=(d, d)))[0]
-            for _ in range(0 if self.parts else self.rounds):
-                u, _, t = np.linalg.svd(np.where(self.sample @ r >= 0, 1.0, -1.0).T @ self.sample)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _part(self) -> tuple[np.ndarray, np.ndarray]:
+        rng, d = np.random.default_rng(self.seed + len(self.parts)), self.basis.shape[1]
+        if not self.centred:
+            return rng.normal(size=(len(self.mean), DIMS)), np.zeros(DIMS)
+        r = np.linalg.qr(rng.normal(size=(d, d)))[0]
+        if not self.parts:
+            v = (self.x - self.mean) @ self.basis
+            for _ in range(self.rounds):
+                u, _, t = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
                 r = (u @ t).T
-            self.parts.append(self.basis @ r)
-        return np.concatenate(self.parts, 1)[:, :bits] if bits else np.zeros((len(self.mean), 0))
+        p = self.basis @ r
+        return p, self.mean @ p
+
+    def planes(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Directions, a column each, and how far from the origin."""
+        while sum(len(o) for _, o in self.parts) < bits:
+            self.parts.append(self._part())
+        return np.concatenate([p for p, _ in self.parts], 1)[:, :bits], np.concatenate([o for _, o in self.parts])[:bits]
 
     def tables(self, key: int, threshold: float, recall: float, trials: int = 512) -> int:
         """Tables of keys of so many bits that reach the recall."""
         rng = np.random.default_rng(self.seed)
-        x = self.mean + self.sample[rng.integers(len(self.sample), size=trials)] @ self.basis.T
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = self.x[rng.integers(len(self.x), size=trials)]
         u = rng.normal(size=(trials, self.basis.shape[1])) @ self.basis.T
         u -= (u * x).sum(1, keepdims=True) * x
         length = np.linalg.norm(u, axis=1, keepdims=True)
@@ -84,9 +95,10 @@ class ITQ:
         met, n = np.zeros(trials, bool), 0
         while n == 0 or met.mean() < recall:
             n += 1
-            p = self.projection(n * key)[:, -key:]
-            flips = (((x - self.mean) @ p >= 0) != ((y - self.mean) @ p >= 0)).sum(1)
-            met |= flips <= 1
+            p, o = self.planes(n * key)
+            now = ((x @ p[:, -key:] >= o[-key:]) != (y @ p[:, -key:] >= o[-key:])).sum(1) <= 1
+            self.centred &= bool(now[~met].mean() >= LEAST_GAIN)
+            met |= now
         return n
 
 
@@ -120,7 +132,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = 20_0
     some = reps.orderBy(F.xxhash64("id"), "id").limit(rows).select("embedding").toArrow().column("embedding").combine_chunks()
     itq = ITQ(_matrix(some, most) if len(some) else np.ones((1, most)))
     tables = itq.tables(bits, threshold, recall)
-    mean, proj = itq.mean, itq.projection(tables * bits)
+    planes, offsets = itq.planes(tables * bits)
     # flips of the whole code, beyond which a pair at the threshold is out by six deviations
     flip = np.arccos(threshold) / np.pi
     radius = int(np.ceil(2 * tables * bits * flip + 6 * np.sqrt(tables * bits * flip)))
@@ -129,7 +141,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = 20_0
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.uint64(1) << np.arange(bits, dtype=np.uint64)
         for b in batches:
-            sign = (unit(_matrix(C.column(b, "embedding"), most)) - mean) @ proj >= 0
+            sign = unit(_matrix(C.column(b, "embedding"), most)) @ planes >= offsets
             code = [(sign[:, t * bits : (t + 1) * bits] * weight).sum(1, dtype=np.uint64).view(np.int64) for t in range(tables)]
             yield pa.RecordBatch.from_arrays([*[C.column(b, n) for n in ("id", "label", "dim")], *map(pa.array, code)], names=["id", "label", "dim", *names])
 
