@@ -2,7 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from tests.compare import differs, duck
 from tidemark import registry
+from tidemark.operators import library as L
+from tidemark.operators import validate as V
+from tidemark.operators.context import FeatureContext
 from tidemark.operators.sample import every_nth
 from tidemark.plans import markout as M
 from tidemark.schema import EVENTS
@@ -27,6 +31,27 @@ def test_lookahead_differential_probes_every_trade(spark):
     assert n > 128 and {r["n_probe"] for r in registry.MAKERS["lookahead_differential"](m).collect()} == {n}
 
 
+def test_lookahead_differential_of_many_trades_equals_sql(spark):
+    sf = "/root/testdata/sf0.1"
+    assert market(spark, sf).context().n_trades() > 5000
+    assert differs(spark, duck(sf), registry.queries()["lookahead_differential"], registry.oracle_sql()["lookahead_differential"], sf) == ""
+
+
+def test_trades_at_one_time_share_a_cut(spark):
+    sec = 1_000_000
+    trades = spark.createDataFrame([(i, "btc", (10 + i // 3) * sec, "buy", 100.0, 1.0) for i in range(12)], "row_id long, sym string, timestamp long, side string, price double, amount double")
+    liq = spark.createDataFrame([(i, "btc", (8 + i) * sec, "sell", 100.0, 1.0) for i in range(8)], trades.schema)
+    bbo = spark.createDataFrame([(i, "btc", (5 + 2 * i) * sec, 99.0 + i, 1.0, 101.0 + i, 1.0) for i in range(5)], "row_id long, sym string, timestamp long, bid_price double, bid_amount double, ask_price double, ask_amount double")
+    ctx = FeatureContext.from_frames(trades, bbo, liq, liq.where("row_id < 2"), exchange_2_lag_us=0)
+    features = [L.LiqNotional(2), L.TimeSinceLiq(), L.BBOSpread()]
+    d = V.check_no_lookahead(features, ctx, exhaustive_below=None).collect()
+    assert len(d) == 3 and all(r["n_probe"] == 12 and r["ok"] for r in d)
+    full = ctx.fresh()
+    for f in features:
+        f.calculate(full)
+    assert ctx.truncated(ctx.queries, full.requests.values()).events.select("probe_id").distinct().count() == 4
+
+
 def test_feature_ranking_toxic_falls(spark):
     d = registry.queries()["feature_ranking_toxic"](spark, "/root/testdata/sf0.001")
     ic = [abs(r["spearman_ic"]) for r in d.collect()]

@@ -78,32 +78,34 @@ class FeatureContext:
         return replace(self.fresh(), queries=query_stream(trades, self.keys, weight_cap))
 
     def truncated(self, probes: DataFrame, requests: Iterable[Request]) -> FeatureContext:
-        """A context per probe trade: events before t, quotes up to t. Only what the requests can read is
-        joined, by cells of time as long as they reach back, and the last event and quote before that.
-        ``probes`` are rows of ``queries`` whose number the caller bounds, so that they can be broadcast."""
+        """A context per cut, which probe trades of equal keys and t share: events before t, quotes up to t.
+        Only what the requests can read is joined, by cells of time as long as they reach back, and the last
+        event or quote before that if a request reads it. ``probes`` are rows of ``queries``, up to all."""
+        requests = list(requests)
         reach = min([0, *(r.lo for r in requests if r.kind in ("sum", "count")), *(r.hi for r in requests)])
         width = max(-reach, 1)
         cell = lambda c: F.floor(c / F.lit(width)).cast("long")
-        at = F.col("t").alias("__pt")
-        p = probes.select(*self.keys, F.col("row_id").alias("probe_id"), at)
+        p = probes.select(*self.keys, F.col("t").alias("probe_id"), F.col("t").alias("__pt")).distinct()
         cells = p.withColumn("__cell", F.explode(F.sequence(cell(F.col("__pt") + F.lit(reach)), cell(F.col("__pt")))))
 
-        def cut(d: DataFrame, upto: Column, by: list[str]) -> DataFrame:
-            near = d.withColumn("__cell", cell(F.col("t"))).join(F.broadcast(cells), [*self.keys, "__cell"]).where(upto & (F.col("t") >= F.col("__pt") + F.lit(reach)))
+        def cut(d: DataFrame, upto: Column, by: list[str], kind: str) -> DataFrame:
+            near = d.withColumn("__cell", cell(F.col("t"))).join(cells, [*self.keys, "__cell"]).where(upto & (F.col("t") >= F.col("__pt") + F.lit(reach)))
             near = near.select(*d.columns, "probe_id")
+            if all(r.kind != kind for r in requests):
+                return near
             rest = [c for c in d.columns if c not in {*self.keys, *by, "t"}]
             row = F.struct("t", *rest)
             group = [*self.keys, *by]
             asked = p.join(d.select(*group).distinct(), list(self.keys)) if by else p
-            line = d.select(*group, "t", row.alias("__row"), F.lit(None).cast(probes.schema["row_id"].dataType).alias("probe_id"))
+            line = d.select(*group, "t", row.alias("__row"), F.lit(None).cast("long").alias("probe_id"))
             line = line.unionByName(asked.select(*group, (F.col("__pt") + F.lit(reach)).alias("t"), "probe_id"), allowMissingColumns=True)
             w = Window.partitionBy(*group).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
             last = line.withColumn("__row", F.max("__row").over(w)).where("probe_id IS NOT NULL AND __row IS NOT NULL").select(*group, "probe_id", "__row.*")
             return near.unionByName(last.select(*near.columns))
 
         return replace(
-            self.fresh(), keys=(*self.keys, "probe_id"), bucket_us=None, queries=probes.withColumn("probe_id", F.col("row_id")),
-            events=cut(self.events, F.col("t") < F.col("__pt"), ["stream"]), quotes=cut(self.quotes, F.col("t") <= F.col("__pt"), []),
+            self.fresh(), keys=(*self.keys, "probe_id"), bucket_us=None, queries=probes.withColumn("probe_id", F.col("t")),
+            events=cut(self.events, F.col("t") < F.col("__pt"), ["stream"], "last_ts"), quotes=cut(self.quotes, F.col("t") <= F.col("__pt"), [], "asof"),
         )
 
     def n_trades(self) -> int:

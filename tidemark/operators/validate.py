@@ -46,13 +46,12 @@ def check_alignment(matrix: DataFrame, queries: DataFrame, keys: Sequence[str] =
     return d.withColumn("ok", (F.col("n_missing") == 0) & (F.col("n_extra") == 0) & (F.col("n_repeated") == 0))
 
 
-def check_no_lookahead(features: Sequence[Feature], ctx: FeatureContext, n_probe: int = 256, seed: int = 0, tol: float = 1e-9, exhaustive_below: int = 5000, n: int | None = None) -> DataFrame:
+def check_no_lookahead(features: Sequence[Feature], ctx: FeatureContext, n_probe: int = 256, seed: int = 0, tol: float = 1e-9, exhaustive_below: int | None = 5000, n: int | None = None) -> DataFrame:
     """Recomputes the features for probe trades on data cut at t and compares, all probes in one plan:
-    the probe is one more partition key. Every trade is a probe up to exhaustive_below trades, else
-    n_probe of them by a seeded hash. A row per feature: n_probe, n_violations, max_abs_diff, ok."""
-    n = ctx.n_trades() if n is None else n
+    the time of the cut is one more partition key. Every trade is a probe up to exhaustive_below trades, or
+    however many there are if it is None, else n_probe of them by a seeded hash. A row per feature: n_probe, n_violations, max_abs_diff, ok."""
     probes = ctx.queries
-    if n > max(n_probe, exhaustive_below):
+    if exhaustive_below is not None and (ctx.n_trades() if n is None else n) > max(n_probe, exhaustive_below):
         probes = probes.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(n_probe)
     names = [f.name for f in features]
     full = ctx.fresh()

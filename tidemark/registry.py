@@ -79,7 +79,7 @@ def _tracked(m: Market) -> DataFrame:
 
 
 def _differential(m: Market) -> DataFrame:
-    return V.check_no_lookahead([L.LiqNotional(SHORT), _Inclusive()], m.context())
+    return V.check_no_lookahead([L.LiqNotional(SHORT), _Inclusive()], m.context(), exhaustive_below=None)
 
 
 MAKERS: dict[str, Callable[[Market], DataFrame]] = {
