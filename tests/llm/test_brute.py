@@ -1,9 +1,11 @@
 """The corpus operators and the pipeline's stages against brute force, SQL and held-out labels."""
 
+import math
 import random
 import re
 import struct
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -218,6 +220,35 @@ def test_every_label_is_learned(spark):
     assert len({r["lang_pred"] for r in p}) == 300 and all(r["lang_pred"] == r["lang"] for r in p)
 
 
+def test_languages_are_learned_from_all_rows(spark):
+    own = lambda i: " ".join(chr(0x4E00 + 40 * i + j) + chr(0x4E01 + 40 * i + j) for j in range(6))
+    rows = [(i, f"w{'ab' if i % 2 else 'xy'} {'cd' if i % 2 else 'uv'}e", f"l{i % 2}") for i in range(8_000)]
+    rows += [(10_000 + i, own(i), "l1") for i in range(40)]
+    d = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars int").repartition(5)
+    assert P.language(spark, d, SMALL).where("doc_id >= 10000").count() == 40
+    model = language_id.train(d)
+    p = sorted(r["known"] for r in language_id.predict(d, model).collect())
+    for low in (0.0, 0.002, 0.01, 1.0):
+        assert language_id.usual(d, model, low) == math.floor(p[max(0, math.ceil(low * len(p)) - 1)] * 10_000) / 10_000
+
+
+def test_counts_of_tasks_that_hold_few(spark, monkeypatch):
+    d = C.documents(spark, SMALL).select("doc_id", "text", "lang").limit(60).coalesce(1)
+    rows = d.where("lang IS NOT NULL AND text IS NOT NULL").collect()
+    langs = sorted({r["lang"] for r in rows})
+    n = {x: Counter(language_id.grams([r["text"] for r in rows if r["lang"] == x])[0].tolist()) for x in langs}
+    members = {x: [g for g in n[x] if n[x][g] / n[x].total() >= 0.3 * max(o[g] / o.total() for o in n.values())] for x in langs}
+    want = language_id.BitmaskFilter.build(langs, {x: np.asarray(g, np.uint64) for x, g in members.items()})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for held in (1 << 20, 3_000, 1):
+            monkeypatch.setattr(language_id, "HELD", held)
+            model = language_id.train(d, top=1 << 20)
+            assert model.langs == langs and np.array_equal(model.masks, want.masks)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_held_out_languages(spark):
     d = C.documents(spark, "/root/testdata/sf0.01").select("doc_id", "lang")
     p = language_id.query(spark, "/root/testdata/sf0.01").join(d, "doc_id").where("held_out").collect()

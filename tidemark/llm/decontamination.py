@@ -175,13 +175,14 @@ def edited(x: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
     return np.asarray(y, np.uint64)
 
 
-def tables_for(w: np.ndarray, off: np.ndarray, items: np.ndarray, size: Size, share: float, recall: float, trials: int = 128, seed: int = 9) -> int:
-    """Repetitions that reach the recall, from the agreement of the walks of items of a class and of
-    copies under the most edits: the mean, over trials, of the chance to miss, is 1 - recall at most."""
+def tables_for(w: np.ndarray, off: np.ndarray, items: np.ndarray, size: Size, share: float, recall: float, trials: int = 1024, seed: int = 9) -> int:
+    """Repetitions that reach the recall, from the agreement of the walks of all items of a class and of
+    copies under the most edits: the mean, over trials, of the chance to miss, is 1 - recall at most.
+    Each item is tried, and so often that there are ``trials`` at least."""
     if not size.edits:
         return 1
     rng = np.random.default_rng(seed)
-    own = [w[off[i] : off[i + 1]] for i in rng.choice(items, trials).tolist()]
+    own = [w[off[i] : off[i + 1]] for i in np.resize(items, max(trials, len(items))).tolist()]
     pairs = [s for x in own for s in (x, edited(x, int(edits_allowed(len(x), share)), rng))]
     start = np.cumsum([0, *map(len, pairs)])
     end = np.minimum(start[:-1] + size.lo, start[1:])

@@ -4,10 +4,10 @@ A bit-sliced Bloom filter has one word of language bits per slot: the AND of an
 all languages that contain it. A document's popcount per language, less the false positives that the
 fill of that language's slice predicts, decides; the score is the winner's part of all counts.
 
-The filters are learned from a bounded sample of labelled rows: the most frequent n-grams of each
-language, without those that another language uses far more often. Every label is learned. The size of
-the filter does not grow with the corpus, only with the number of labels, so it is broadcast. ``known`` is the part
-of a text's n-grams that the winner's filter holds; ``usual`` is the low quantile of it in the sample.
+The filters are learned from all labelled rows: the most frequent n-grams of each language, without
+those that another language uses far more often. Every label is learned. The size of the filter does
+not grow with the corpus, only with the number of labels, so it is broadcast. ``known`` is the part
+of a text's n-grams that the winner's filter holds; ``usual`` is the low quantile of it in all labelled rows.
 
 Edge cases: NULL texts and texts without a letter are ``und`` with score 0, and so is everything if
 nothing was learned; ties go to the language that comes first in the alphabet; other columns pass
@@ -33,6 +33,10 @@ UNDETERMINED = "und"
 FILTER_BYTES = 64 << 20
 #: Bytes of the filter, above which slices get denser, down to 8 slots an n-gram.
 FILTER_BYTES = 64 << 20
+#: Counts of n-grams that a task holds before it hands them on, about.
+HELD = 1 << 20
+#: Steps of ``usual`` between 0 and 1.
+STEPS = 10_000
 LETTER = re.compile(r"[^\W\d_]")
 _alpha: list[np.ndarray] = []
 
@@ -68,8 +72,6 @@ class BitmaskFilter:
     langs: list[str]
     masks: np.ndarray  # slots x words
     hashes: int = 3
-    usual: float = 0.0
-    usual: float = 0.0
 
     @classmethod
     def build(cls, langs: list[str], members: dict[str, np.ndarray], hashes: int = 3) -> BitmaskFilter:
@@ -109,27 +111,46 @@ class BitmaskFilter:
         return out
 
 
-def train(labelled: DataFrame, per_language: int = 1500, top: int = 4000, ratio: float = 0.3, low: float = 0.01) -> BitmaskFilter:
-    """labelled: doc_id, text, lang. About per_language documents of each language, whole, chosen by a
-    hash of doc_id. low: the quantile that ``usual`` is."""
-    d = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
-    langs = sorted(sizes)
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of (n-grams, counts), and the sums of their counts."""
+    g, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    n = np.zeros(len(g), np.int64)
+    np.add.at(n, at, np.concatenate([n for _, n in parts]))
+    return g, n
+
+
+def train(labelled: DataFrame, top: int = 4000, ratio: float = 0.3) -> BitmaskFilter:
+    """labelled: doc_id, text, lang. Reads all of its rows with a label and a text, whole."""
+    d = labelled.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
+    langs = sorted(r["lang"] for r in d.select("lang").distinct().collect())
     if not langs:
         return BitmaskFilter.build([], {})
-    size = F.broadcast(labelled.sparkSession.createDataFrame(list(sizes.items()), "lang string, size long"))
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / float(1 << 30) < F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("size"))
-    some = d.join(size, "lang").where(chosen).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for name, [(g, n)] in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+            held.clear()
+
+        size = 0
         for b in C.pieces(batches):
             lang = np.asarray(C.column(b, "lang").to_pylist(), object)
             for name in np.unique(lang):
                 h, _ = grams([t for t, x in zip(C.column(b, "text").to_pylist(), lang, strict=True) if x == name])
-                g, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
-
-    c = some.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                held.setdefault(name, []).append(np.unique(h, return_counts=True))
+                size += len(held[name][-1][0])
+            if size > HELD:
+                held.update({name: [summed(parts)] for name, parts in held.items()})
+                size = sum(len(g) for [(g, _)] in held.values())
+                if size > HELD // 2:
+                    yield from out()
+                    size = 0
+        held.update({name: [summed(parts)] for name, parts in held.items()})
+        yield from out()
+
+    c = d.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     c = C.written(c, "lang-grams")
     total = c.groupBy("lang").agg(F.sum("n").alias("total"))
     c = c.join(F.broadcast(total), "lang").withColumn("p", F.col("n") / F.col("total"))
@@ -137,10 +158,18 @@ def train(labelled: DataFrame, per_language: int = 1500, top: int = 4000, ratio:
     c = c.withColumn("best", F.max("p").over(Window.partitionBy("gram"))).where(F.col("p") >= F.col("best") * ratio)
     t = c.select("lang", "gram").toArrow()
     lang, gram = np.asarray(t.column("lang").to_pylist(), object), t.column("gram").to_numpy().view(np.uint64)
-    model = BitmaskFilter.build(langs, {x: gram[lang == x] for x in langs})
-    names = ("__lang", "__score", "__known")
-    model.usual = predict(some, model, names).where(F.col("__lang") != UNDETERMINED).agg(F.percentile_approx("__known", low)).first()[0] or 0.0
-    return model
+    return BitmaskFilter.build(langs, {x: gram[lang == x] for x in langs})
+
+
+def usual(labelled: DataFrame, model: BitmaskFilter, low: float = 0.01) -> float:
+    """The quantile ``low`` of ``known`` in all rows with a label and a letter, down to a step of STEPS."""
+    d = labelled.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
+    p = predict(d, model, ("__lang", "__score", "__known")).where(F.col("__lang") != UNDETERMINED)
+    steps = sorted(p.groupBy(F.floor(F.col("__known") * STEPS).alias("step")).count().collect())
+    if not steps:
+        return 0.0
+    upto = np.cumsum([n for _, n in steps])
+    return steps[int(np.searchsorted(upto, low * upto[-1]))][0] / STEPS
 
 
 def predict(docs: DataFrame, model: BitmaskFilter, as_: tuple[str, str, str] = ("lang_pred", "score", "known")) -> DataFrame:

@@ -30,13 +30,14 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects NULL texts, texts without a letter, and texts of no language: with no language well ahead of
-    the others, or that the best one hardly knows. NULL labels teach nothing, and without any label
+    the others, or that the best one hardly knows. Both are learned from all labelled rows. NULL labels teach nothing, and without any label
     nothing is kept; of languages that tie, the first counts."""
     model = language_id.train(docs.select("doc_id", "text", "lang"))
+    known = LEAST_OF_USUAL * language_id.usual(docs.select("text", "lang"), model)
     names = ("__lang", "__score", "__known")
     p = language_id.predict(docs, model, names)
     least = LEAST_OVER_EVEN / len(model.langs) if len(model.langs) > 1 else 0.0
-    ok = (F.col("__lang") != language_id.UNDETERMINED) & (F.col("__score") > least) & (F.col("__known") >= LEAST_OF_USUAL * model.usual)
+    ok = (F.col("__lang") != language_id.UNDETERMINED) & (F.col("__score") > least) & (F.col("__known") >= known)
     return p.where(ok).select(*docs.columns)
 
 
