@@ -136,9 +136,10 @@ def train(labelled: DataFrame, top: int = 4000, ratio: float = 0.3) -> BitmaskFi
 
         size = 0
         for b in C.pieces(batches):
-            lang = np.asarray(C.column(b, "lang").to_pylist(), object)
-            for name in np.unique(lang):
-                h, _ = grams([t for t, x in zip(C.column(b, "text").to_pylist(), lang, strict=True) if x == name])
+            names, of = np.unique(np.asarray(C.column(b, "lang").to_pylist(), object), return_inverse=True)
+            texts = np.asarray([*C.column(b, "text").to_pylist(), None], object)[:-1]
+            for i, name in enumerate(names):
+                h, _ = grams(texts[of == i].tolist())
                 held.setdefault(name, []).append(np.unique(h, return_counts=True))
                 size += len(held[name][-1][0])
             if size > HELD:
